@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_near_dedup
+from .language_id import fit, fold_of, predict
 from .ngram_join import ngram_jaccard_join
+from .packing import WordTokenizer, pack_documents
 from .substring_dedup import substring_dedup
 from .topk_search import exact_top_k
 
@@ -63,6 +65,22 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
 
+def _word_bpe() -> WordTokenizer:
+    import public_tokenizers
+
+    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _word_bpe, size=2048)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id")) == 2)
+    model = fit(docs.where(~F.col("held_out")))
+    return predict(docs, model, ["doc_id", "held_out"])
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
@@ -84,8 +102,10 @@ FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_top_k": op8_exact_top_k,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": OP1_SQL,
