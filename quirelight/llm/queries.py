@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_near_dedup
 from .language_id import fit, fold_of, predict
+from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_join
 from .packing import WordTokenizer, pack_documents
+from .pii import KINDS, joined, sanitise
 from .substring_dedup import substring_dedup
 from .topk_search import exact_top_k
 
@@ -81,6 +83,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, ["doc_id", "held_out"])
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.withColumn("base", F.expr("filter(spans, s -> s.kind <> 'term')"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k, *_ in KINDS]
+    return out.select("doc_id", *counts, F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    word = F.transform("places", lambda p: p["word"])
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
@@ -103,7 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_language_id": op10_language_id,
 }
