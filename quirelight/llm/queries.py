@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_near_dedup
+from .html_text import extract_text
 from .language_id import fit, fold_of, predict
 from .licenses import scan_licenses
+from .mixing import mix
 from .ngram_join import ngram_jaccard_join
 from .packing import WordTokenizer, pack_documents
 from .pii import KINDS, joined, sanitise
@@ -96,6 +98,15 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(_table(spark, sf_dir, "documents"), budget=0.5, power=0.7)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
@@ -121,7 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
+    "op7_html_extraction": op7_html_extraction,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
