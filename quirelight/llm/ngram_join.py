@@ -6,7 +6,8 @@
 2. By the prefix filter, two linked sets share a shingle among the first ``n - ceil(t n) + 1`` of each. Texts that share
    such a shingle are candidates. As only components and not all links are asked for, links are looked for in rounds:
    first each text against the smallest id among those that share a prefix shingle, which takes as many pairs as there are
-   rows, then only pairs of texts that are still in different components. No link that joins two components is lost.
+   rows; then the texts that share one with another component than their own against all of that component and each other.
+   No link that joins two components is lost.
 3. Candidates of a text are verified in a prefix tree (trie) of their ordered sets: it is walked depth first, the overlap
    with the text's set is carried along shared beginnings, and a branch is left as soon as the overlap so far and
    what remains on either side cannot reach the threshold. Candidates of a text with very many are dealt to several trees.
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import stage
-from .components import components
+from .components import components, forest
 from .words import Words, mix, windows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sets in one tree, about.
-TREE = 256
+#: Sets in one tree, and sets held against it in one task, about.
+TREE, PROBES = 256, 1024
 
 
 def folded(text: Column) -> Column:
@@ -131,6 +132,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("c", "tree").applyInPandas(walk, "a long, b long")
 
 
+def _homes(outside: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the texts outside a component with it and with each other.
+
+    outside (home, key): key shares a prefix shingle with a text of component home. Two texts of different components that share one are
+    both outside the same home, or one is in it. A home's texts and those outside are dealt to trees, once each, and those outside
+    go to each tree: rows grow with their number times the number of trees, not with pairs.
+    """
+    placed = sets.join(comps.withColumnRenamed("id", "key"), "key", "left").withColumn("home", F.coalesce("component_id", "key")).drop("component_id")
+    own = placed.join(outside.select("home").distinct(), "home", "left_semi").select("home", "key", "n", "shared")
+    guests = outside.join(sets, "key").select("home", "key", "n", "shared")
+    size = outside.groupBy("home").agg(F.count("*").alias("x")).join(placed.groupBy("home").agg(F.count("*").alias("c")), "home", "left")
+    size = size.select("home", F.ceil((F.col("x") + F.coalesce("c", F.lit(0))) / TREE).cast("int").alias("trees"), F.ceil(F.col("x") / PROBES).cast("int").alias("parts"))
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["home", "tree", "part", "key", "n", "shared", "probe"]
+    leaves = own.union(guests).join(size, "home").withColumn("tree", deal("trees")).withColumn("part", every("parts")).withColumn("probe", F.lit(False))
+    probes = guests.join(size, "home").withColumn("part", deal("parts")).withColumn("tree", every("trees")).withColumn("probe", F.lit(True))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        probe = pdf["probe"].to_numpy()
+        key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
+        load = [np.frombuffer(x, "<u8") for x in pdf["shared"]]
+        prefix = [x[: max(0, m - -(-percent * m // 100) + 1 - (m - len(x)))] for x, m in zip(load, n.tolist())]
+        holds: dict[int, list[int]] = {}
+        for i in np.flatnonzero(~probe).tolist():
+            for t in prefix[i].tolist():
+                holds.setdefault(t, []).append(i)
+        a, b = [], []
+        for i in np.flatnonzero(probe).tolist():
+            some = {j for t in prefix[i].tolist() for j in holds.get(t, ())}
+            some = [j for j in some if key[j] != key[i] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])]
+            linked = in_tree(load[i], int(n[i]), [load[j] for j in some], [int(n[j]) for j in some], percent)
+            got = [j for j, x in zip(some, linked) if x]
+            a += [key[i]] * len(got)
+            b += [key[j] for j in got]
+        u, v = forest(np.array(a, np.int64), np.array(b, np.int64))
+        return pd.DataFrame({"a": u, "b": v})
+
+    return leaves.select(cols).unionByName(probes.select(cols)).groupBy("home", "tree", "part").applyInPandas(walk, "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more."""
     spark, parts = docs.sparkSession, stage.buckets(docs.sparkSession)
@@ -187,10 +229,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     where = prefixes.join(comps.withColumnRenamed("id", "key"), "key", "left").select("tok", "key", "n", "rep", F.coalesce("component_id", "key").alias("comp"))
     where = stage.written(spark, where, "placed")
     mixed = where.groupBy("tok").agg(F.min(F.struct("rep", "key", "comp")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", F.col("f.key").alias("fk"), F.col("f.comp").alias("fc"))
-    inside = where.join(mixed, "tok")
-    outside = inside.where("comp <> fc").select("tok", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))
-    more = inside.join(outside, "tok").where("comp <> cc and key <> fk and (comp = fc or key < c)").where(fits("n", "cn")).select("c", F.col("key").alias("k")).distinct()
-    again = stage.written(spark, _verified(more, held_sets, percent), "linked")
+    outside = stage.written(spark, where.join(mixed, "tok").where("comp <> fc").select(F.col("fc").alias("home"), "key").distinct(), "outside")
+    again = stage.written(spark, _homes(outside, comps, held_sets, percent), "linked")
     if not again.isEmpty():
         comps = components(spark, comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(again))
     # a component is named by its smallest document id

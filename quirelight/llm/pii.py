@@ -1,11 +1,11 @@
 """Personal data: base patterns, and information-theoretic sanitisation of terms that reveal them. Built-in functions only.
 
 Base spans are the leftmost non-overlapping matches of each kind. Their values are the protected entities. A term (a word of
-TERM letters or more, folded) is held against the corpus: with N distinct texts, of which df(t) hold the term, df(e) the entity and
+TERM letters or more, folded) is held against the corpus: with N documents, of which df(t) hold the term, df(e) the entity and
 c(t, e) both, the entity's information is IC(e) = -log2(df(e) / N) and the term gives away PMI(t, e) = log2(c N / (df(t) df(e)))
 bits of it. In texts that hold the entity, terms that disclose GENERALISE of its bits or more are generalised, those that disclose
-REMOVE or more are removed. Counts are over all distinct texts (copies say nothing new), and a pair counts from SUPPORT texts on.
-The frequent entity is no hot key: pairs are aggregated before the shuffle, and only terms of texts that hold an
+REMOVE or more are removed. Counts are over all documents; a pair counts if SUPPORT different texts or more have it (copies say
+nothing new). The frequent entity is no hot key: pairs are aggregated before the shuffle, and only terms of texts that hold an
 entity of SUPPORT texts are counted in the corpus.
 
 Defined results: null text is empty: no spans. Rows without doc_id are scanned too. Repeated rows each get their spans. Added spans never
@@ -60,20 +60,21 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     texts = found.select(F.md5("text").alias("cls"), "text", F.expr(f"array_distinct({_entities()})").alias("es"))
     held = texts.where(F.size("es") > 0)
-    # distinct texts that hold something, each once; the text travels only for those
-    once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("ws"))
+    # distinct texts that hold something, each once with its number of documents; the text travels only for those
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", words.alias("ws"), "docs")
     once = stage.written(spark, once, "protected")
-    entity = once.select("cls", F.explode("es").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    rows = once.select("cls", "ws", F.explode("es").alias("entity")).join(entity, "entity")
-    pairs = rows.select("entity", "n_e", F.explode("ws").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
+    entity = once.select(F.explode("es").alias("entity"), "docs").groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("s")).where(F.col("s") >= SUPPORT).drop("s")
+    rows = once.select("docs", "ws", F.explode("es").alias("entity")).join(entity, "entity")
+    pairs = rows.select("entity", "n_e", "docs", F.explode("ws").alias("term")).groupBy("entity", "n_e", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("s")).where(F.col("s") >= SUPPORT).drop("s")
     pairs = stage.written(spark, pairs, "pairs")
-    total = found.select(F.md5("text").alias("cls")).distinct().agg(F.count("*").alias("n"))
-    # frequency of the asked terms over all distinct texts
+    total = found.agg(F.count("*").alias("n"))
+    # frequency of the asked terms over all documents, added up before the shuffle
     asked = stage.written(spark, pairs.select("term").distinct(), "terms")
     if asked.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    corpus = found.select(F.md5("text").alias("cls"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    df = corpus.join(asked, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    corpus = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    df = corpus.join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
     share = F.expr("log2(c * n / (df * n_e)) / -log2(n_e / n)")
     return pairs.join(df, "term").crossJoin(F.broadcast(total)).where("n_e < n").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
