@@ -1,0 +1 @@
+"""Nothing here yet: both audits are batch programs, and no streaming behaviour is claimed."""
