@@ -88,7 +88,7 @@ def list_items(text: Column) -> Column:
 
 def narrate_tables(rows: DataFrame) -> DataFrame:
     """A sentence "header：cell，…。" for each row below the rule of a Markdown table."""
-    cells = F.transform(X.every(F.col("body"), r"(?dm)^\|(.*)\|$", 1), lambda y: F.transform(F.split(y, r"\|"), F.trim))
+    cells = F.transform(X.every(F.col("body"), r"(?dm)^\|(.*)\|$", 1), lambda y: F.transform(F.split(y, r"\|"), lambda z: F.trim(z)))
     found = rows.select("id", cells.alias("x")).where(F.size("x") > 2)
     found = found.select("id", F.col("x")[0].alias("head"), F.posexplode(F.slice("x", 3, 1_000_000)).alias("i", "row_cells"))
     said = F.transform(F.arrays_zip(F.col("head").alias("h"), F.col("row_cells").alias("c")), lambda z: F.concat(z["h"], L("："), z["c"]))
