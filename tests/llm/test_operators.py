@@ -203,7 +203,7 @@ def test_licenses(spark, none):
     assert len(rules()) > 200 and all(re.compile(r[3]) for r in rules())
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, None), (3, "gnu-General PUBLIC license v3; cc by cc by"), (4, "MIT licenses"), (5, "x " * 5000 + "MIT License"), (5, "")]
     out = {(r["doc_id"], r["n_words"]): r for r in scan_licenses(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, labels string")).collect()}
-    assert out[1, 7]["labels"] == ["apache", "apache-2.0"] and out[1, 7]["places"][0]["word"] == 3
+    assert out[1, 8]["labels"] == ["apache", "apache-2.0"] and out[1, 8]["places"][0]["word"] == 3
     assert [p["word"] for p in out[3, 9]["places"]] == [0, 5, 7] and out[3, 9]["base_labels"] == ["cc-by", "gpl"]
     assert out[4, 2]["base_labels"] == [] and out[5, 5002]["places"][0]["word"] == 5000
     assert out[2, 0]["score"] == 0.0 and all(0 <= r["score"] <= 1 for r in out.values())
