@@ -72,7 +72,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 def _word_bpe() -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return WordTokenizer.shared(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
