@@ -29,7 +29,7 @@ from .words import FOLD
 ORDER, SYMBOLS = 3, 64
 SAMPLE_BYTES = 1 << 20
 #: Bytes scored at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Code lengths are kept in 1/256 bit.
 UNIT = 256
 
@@ -55,19 +55,31 @@ def grams(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Code lengths of the symbols (columns) after contexts (rows), given those after the next shorter contexts."""
+    total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = -np.log2(counts / (total + kinds))
+        escape = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0.0)
+    return np.where(counts > 0, seen, shorter + escape).astype(np.float32)
+
+
 def code_lengths(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Code length of every (ORDER + 1)-gram under one language's tree, from its counted grams."""
-    cost = np.full(SYMBOLS, np.log2(SYMBOLS))  # below order 0
-    for order in range(ORDER + 1):
+    """Code length of every (ORDER + 1)-gram under one language's tree, from its sorted distinct grams. The longest contexts are done in slices."""
+    cost = np.full((1, SYMBOLS), np.log2(SYMBOLS), np.float32)  # below order 0
+    for order in range(ORDER):
         size = SYMBOLS ** (order + 1)
         c = np.bincount(gram % size, count, size).reshape(-1, SYMBOLS)
-        total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        shorter = np.broadcast_to(cost.reshape(1, -1, SYMBOLS), (size // len(cost.ravel()), cost.size // SYMBOLS, SYMBOLS)).reshape(-1, SYMBOLS)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(c / (total + kinds))
-            escape = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0.0)
-        cost = np.where(c > 0, seen, shorter + escape).astype(np.float32)
-    return np.minimum(np.rint(cost.ravel() * UNIT), 65535).astype(np.uint16)
+        cost = _order(c, cost[np.arange(len(c)) % len(cost)])
+    out = np.empty(SYMBOLS ** (ORDER + 1), np.uint16)
+    step = SYMBOLS**2
+    for at in range(0, SYMBOLS**ORDER, step):
+        low, high = at * SYMBOLS, (at + step) * SYMBOLS
+        a, b = np.searchsorted(gram, [low, high])
+        c = np.bincount(gram[a:b] - low, count[a:b], high - low).reshape(-1, SYMBOLS)
+        made = _order(c, cost[np.arange(at, at + step) % len(cost)])
+        out[low:high] = np.minimum(np.rint(made.ravel() * UNIT), 65535).astype(np.uint16)
+    return out
 
 
 class Model:

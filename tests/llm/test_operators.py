@@ -242,3 +242,36 @@ def test_mixing(spark, docs, none):
     assert np.allclose(mass.groupby(out["lang"]).sum(), want, atol=0.02)
     assert abs((out["n_tokens"] * out["probability"]).sum() / out["n_tokens"].sum() - 0.5) < 0.05
     assert mix(docs).count() == docs.where("doc_id is not null").count() and mix(none).count() == 0
+
+
+def test_code_lengths_are_those_of_a_plain_walk():
+    from quirelight.llm.language_id import ORDER, SYMBOLS, code_lengths
+
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 5, 400)
+    grams = defaultdict(int)
+    for k in range(ORDER, len(s)):
+        grams[sum(int(x) * SYMBOLS ** (ORDER - j) for j, x in enumerate(s[k - ORDER : k + 1]))] += 1
+    g = np.array(sorted(grams))
+    table = code_lengths(g, np.array([grams[x] for x in g.tolist()]))
+
+    def plain(symbols):
+        cost = 0.0
+        for order in range(ORDER, -1, -1):
+            size = SYMBOLS**order
+            ctx = sum(x * SYMBOLS ** (order - 1 - j) for j, x in enumerate(symbols[ORDER - order : ORDER]))
+            seen = defaultdict(int)
+            for x, c in grams.items():
+                if (x // SYMBOLS) % size == ctx:
+                    seen[x % SYMBOLS] += c
+            total, kinds = sum(seen.values()), len(seen)
+            if seen[symbols[ORDER]] > 0:
+                return cost - np.log2(seen[symbols[ORDER]] / (total + kinds))
+            if kinds:
+                cost -= np.log2(kinds / (total + kinds))
+        return cost + np.log2(SYMBOLS)
+
+    for _ in range(100):
+        symbols = [int(x) for x in rng.integers(0, 7, ORDER + 1)]
+        at = sum(x * SYMBOLS ** (ORDER - j) for j, x in enumerate(symbols))
+        assert abs(table[at] / 256 - plain(symbols)) < 0.01
