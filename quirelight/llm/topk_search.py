@@ -2,10 +2,10 @@
 
 Vectors are dealt to index blocks. In a block each dimension has two posting lists (for query components above and below
 zero) of non-negative impacts, cut into segments of equal quantised impact, highest first. A query processes the segments of all its
-dimensions by descending |q_d| times the segment's impact. Each vector has a lower bound (what it has collected) and an
-upper bound (segments not yet processed bound what is missing). A vector is given up only if its upper bound is below the k-th
-best lower bound; processing stops once few vectors are left, which are scored exactly in integers. The result is exact whenever
-it stops.
+dimensions by descending |q_d| times the segment's impact, in a few rounds. After a round each vector has an upper bound (segments not
+yet processed bound what is missing), and the vectors that have collected most are scored exactly. A vector is given up only if its
+upper bound is below the k-th best of those scores; processing stops once few vectors are left, which are scored exactly in integers.
+The result is exact whenever it stops.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without a vec_id.
 Only vectors of a query's length are its candidates. Ties go to the smaller vec_id. Other columns are ignored.
@@ -21,52 +21,75 @@ from pyspark.sql import functions as F
 from . import stage
 from .vectors import usable
 
-BLOCK, QUERIES, LEVELS = 4096, 1024, 16
+BLOCK, QUERIES, LEVELS = 4096, 1024, 64
+#: Shares of a block's postings after which bounds are compared; a share of 1 / RESCORED of its vectors is cheaper scored than bounded.
+STOPS, RESCORED = (0.5, 0.85, 0.96, 1.0), 16
 
 
 class ImpactIndex:
-    """Posting segments of one block of integer vectors."""
+    """Posting segments of one block of integer vectors.
+
+    A list's segments lie one behind the other, highest impact first, so those that a query processes between two impacts are one slice.
+    """
 
     def __init__(self, v: np.ndarray):
         self.v = v
-        low, high = v.min(axis=0), v.max(axis=0)
-        self.step = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        self.level = {1: (v - low) // self.step, -1: (high - v) // self.step}
+        self.low, self.high = v.min(axis=0), v.max(axis=0)
+        self.step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
         self.lists = {}
-        for sign, level in self.level.items():
-            for d in range(v.shape[1]):
-                order = np.argsort(-level[:, d], kind="stable")
-                self.lists[sign, d] = order, np.searchsorted(-level[order, d], -np.arange(LEVELS + 1), "right")
+        for sign, level in {1: (v - self.low) // self.step, -1: (self.high - v) // self.step}.items():
+            order = np.argsort(-level, axis=0, kind="stable").T.copy()
+            ranked = np.take_along_axis(level.T, order, axis=1)
+            # cut[d, l]: how many postings have level l or more
+            cut = np.array([np.searchsorted(-x, -np.arange(LEVELS + 1), "right") for x in ranked])
+            self.lists[sign] = order, ranked.astype(float), cut
 
     def search(self, q: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best, with the k best surely among them; own: rows that are no candidates."""
         n = len(self.v)
-        weight, dims = np.abs(q), np.flatnonzero(q)
-        sign = np.where(q > 0, 1, -1)
-        unit = weight * self.step
-        d, level = np.repeat(dims, LEVELS), np.tile(np.arange(LEVELS - 1, -1, -1), len(dims))
-        order = np.argsort(-(unit[d] * (level + 1)), kind="stable")
-        seen = np.zeros((len(q), n), bool)
-        got = np.zeros(n, np.int64)
-        ahead = unit * LEVELS  # the most that a dimension not yet met can give
         left = np.ones(n, bool)
         left[own] = False
-        few = max(4 * k, 32)
-        at, every = 0, max(1, len(order) // 12)
-        while left.sum() > few and at < len(order):
-            for s in order[at : at + every].tolist():
-                dim, lev = int(d[s]), int(level[s])
-                docs, cut = self.lists[int(sign[dim]), dim]
-                docs = docs[(cut[lev + 1] if lev + 1 <= LEVELS - 1 else 0) : cut[lev]]
-                got[docs] += unit[dim] * lev
-                seen[dim, docs] = True
-                ahead[dim] = unit[dim] * lev
-            at += every
-            # met dimensions are known to within one level, the others are below what has been processed
-            upper = got + (np.where(seen[dims], (unit[dims] - weight[dims])[:, None], np.maximum(ahead[dims] - weight[dims], 0)[:, None])).sum(axis=0)
-            lower = np.where(left, got, -1)
-            if left.sum() > k:
-                left &= upper >= np.partition(lower, n - k)[n - k]
+        dims = np.flatnonzero(q)
+        few = max(4 * k, n // RESCORED)
+        if left.sum() <= few or not len(dims):
+            return np.flatnonzero(left)
+        weight, side = np.abs(q[dims]), q[dims] > 0
+        unit = weight * self.step[dims]
+        # impacts count from the least that a component can give
+        base = int((q[dims] * np.where(side, self.low[dims], self.high[dims])).sum())
+        parts = [tuple(x[d] for x in self.lists[1 if up else -1]) for d, up in zip(dims.tolist(), side)]
+        cuts = np.array([c for _, _, c in parts])
+        # impacts of all segments, from which those are read that part the postings into the wanted shares
+        floor = unit[:, None] * np.arange(1, LEVELS + 1)
+        order = np.argsort(-floor, axis=None)
+        share = np.cumsum((cuts[:, :-1] - cuts[:, 1:]).ravel()[order])
+        got, seen = np.zeros(n), np.zeros(n)
+        done = np.zeros(len(dims), np.int64)
+        for stop in STOPS:
+            tau = 0 if stop == 1.0 else int(floor.ravel()[order[min(np.searchsorted(share, stop * share[-1]), share.size - 1)]])
+            level = np.minimum(tau // unit, LEVELS)  # what is not processed has a lower level, and an impact below tau
+            upto = cuts[np.arange(len(dims)), level]
+            slices = [(o[a:b], u * x[a:b]) for (o, x, _), u, a, b in zip(parts, unit.tolist(), done.tolist(), upto.tolist()) if b > a]
+            done = np.maximum(done, upto)
+            if not slices:
+                continue
+            rows = np.concatenate([o for o, _ in slices])
+            got += np.bincount(rows, np.concatenate([x for _, x in slices]), n)
+            # met dimensions are known to within one level; of the others, those with no segment met give their most, the rest below tau
+            missing = 0.0
+            if tau:
+                seen += np.bincount(rows, minlength=n)
+                met = done > 0
+                most = weight * (self.high - self.low)[dims]
+                missing = most[~met].sum() + (met.sum() - seen) * tau
+            some = np.flatnonzero(left)
+            best = some[np.argpartition(-got[some], min(2 * k, len(some) - 1))[: 2 * k]]
+            exact = self.v[best] @ q - base
+            if len(best) >= k:
+                least = np.partition(exact, len(best) - k)[len(best) - k]  # k vectors surely have as much
+                left &= got + missing + (unit - weight).sum() >= least
+            if left.sum() <= few:
+                break
         return np.flatnonzero(left)
 
 
