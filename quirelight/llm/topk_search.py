@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from . import stage
 from .vectors import usable
 
+#: Vectors in an index block, queries that are held against it in one task, about, and quantised impacts of a list.
 BLOCK, QUERIES, LEVELS = 4096, 1024, 64
+#: Tasks of a search at most; more groups share them.
+MOST = 20_000
 #: Shares of a block's postings after which bounds are compared; a share of 1 / RESCORED of its vectors is cheaper scored than bounded.
 STOPS, RESCORED = (0.5, 0.85, 0.96, 1.0), 16
 
@@ -127,6 +130,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     index = placed.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")).withColumn("g", every("nq")).withColumn("query", F.lit(False))
     asked = placed.where("query").withColumn("g", F.pmod(F.xxhash64("vec_id"), F.col("nq")).cast("int")).withColumn("b", every("nb"))
     cols = ["d", "b", "g", "vec_id", "v", "query"]
-    found = index.select(cols).unionByName(asked.select(cols)).groupBy("d", "b", "g").applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    groups = sizes.agg(F.sum(F.col("nb").cast("long") * F.col("nq"))).first()[0] or 1
+    # bytes say nothing of the work here, so partitions are counted by groups and not left to be coalesced
+    both = index.select(cols).unionByName(asked.select(cols)).repartition(min(MOST, 2 * groups), "d", "b", "g")
+    found = both.groupBy("d", "b", "g").applyInPandas(_search(k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
