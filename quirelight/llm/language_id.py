@@ -28,8 +28,8 @@ from .words import FOLD
 
 ORDER, SYMBOLS = 3, 64
 SAMPLE_BYTES = 1 << 20
-#: Bytes scored at once.
-PIECE = 1 << 18
+#: Bytes and texts scored at once.
+PIECE, TEXTS = 1 << 18, 512
 #: Code lengths are kept in 1/256 bit.
 UNIT = 256
 
@@ -85,19 +85,17 @@ def code_lengths(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Model:
     """Frozen trees: symbol table, languages and each language's counted grams. The dense table is built once in each Python worker."""
 
-    _built: dict[str, np.ndarray] = {}
-
     def __init__(self, key: str, table: np.ndarray, langs: list[str], counted: list[tuple[np.ndarray, np.ndarray]]):
         self.key, self.table, self.langs, self.counted = key, table, langs, counted
 
     def costs(self) -> np.ndarray:
-        if self.key not in Model._built:
-            Model._built.clear()
+        def build() -> np.ndarray:
             out = np.empty((SYMBOLS ** (ORDER + 1), len(self.langs)), np.uint16)
             for k, (g, c) in enumerate(self.counted):
                 out[:, k] = code_lengths(g, c)
-            Model._built[self.key] = out
-        return Model._built[self.key]
+            return out
+
+        return stage.sole((Model, self.key), build)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in bits, by language."""
@@ -185,14 +183,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     stage.ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.when(has, F.col("text")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    # a kept text goes to Python once, beside a flag
+    own = keep.index("text") if "text" in keep else None
+    rows = docs.select(*keep, has.alias("_has") if own is not None else F.when(has, F.col("text")).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            text = b.column(b.num_columns - 1)
-            at = [i for i in range(b.num_rows) if text[i].is_valid] if m.langs else []
+        for b in (x.slice(k, TEXTS) for x in batches for k in range(0, x.num_rows, TEXTS)):
+            last = b.column(b.num_columns - 1)
+            text = last if own is None else b.column(own)
+            lettered = (last.is_valid() if own is None else last).to_pylist()
+            at = [i for i in range(b.num_rows) if lettered[i]] if m.langs else []
             lang, score, rate = ["und"] * b.num_rows, [0.0] * b.num_rows, [None] * b.num_rows
             if at:
                 raw = [text[i].as_buffer().to_pybytes() for i in at]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,14 @@ def buckets(spark: SparkSession) -> int:
     """Number of hash buckets of a blob exchange: the session's shuffle partitions, which the operator of a cluster sizes to its data."""
     ship(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SOLE: dict[Hashable, Any] = {}
+
+
+def sole(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large object that a Python worker keeps from task to task. Asking for another drops it, so stages of one session do not add up."""
+    if key not in _SOLE:
+        _SOLE.clear()
+        _SOLE[key] = make()
+    return _SOLE[key]
