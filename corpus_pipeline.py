@@ -22,11 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rejected: texts that are null or have no letter, and texts that no language's model codes below the uniform code.
     """
-    names = [c for c in docs.columns if c not in ("text", "lang")]
-    # the text goes through once, beside its prediction
-    out = predict(docs.withColumn("_whole", F.col("text")), fit(docs), [*names, "_whole"])
+    out = predict(docs, fit(docs), [c for c in docs.columns if c != "lang"])
     out = out.where("lang_pred <> 'und'").where(F.col("bits_per_byte") < float(SYMBOLS.bit_length() - 1))
-    return out.withColumnsRenamed({"_whole": "text", "lang_pred": "lang"}).select(*docs.columns)
+    return out.withColumnRenamed("lang_pred", "lang").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
