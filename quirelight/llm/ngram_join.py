@@ -151,6 +151,7 @@ def _homes(outside: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     probes = guests.join(size, "home").withColumn("part", deal("parts")).withColumn("tree", every("trees")).withColumn("probe", F.lit(True))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        stage.drop()
         probe = pdf["probe"].to_numpy()
         key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
         load = [np.frombuffer(x, "<u8") for x in pdf["shared"]]
@@ -181,6 +182,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     held = B.stage_blocks(spark, least, "shingles")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage.drop()
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = _Block(data, width)
@@ -191,6 +193,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     answered = B.exchange(held.mapInArrow(ask, "block long, bucket int, data binary"), _frequencies)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage.drop()
         for batch in batches:
             for row in batch.to_pylist():
                 x = _Block(row["data"], width)

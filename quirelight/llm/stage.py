@@ -65,3 +65,11 @@ def sole(key: Hashable, make: Callable[[], Any]) -> Any:
         _SOLE.clear()
         _SOLE[key] = make()
     return _SOLE[key]
+
+
+def drop() -> None:
+    """In a Python worker: let go of what another operator's tasks have left, and give unused memory back."""
+    import pyarrow as pa
+
+    _SOLE.clear()
+    pa.default_memory_pool().release_unused()
