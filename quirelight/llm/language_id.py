@@ -141,6 +141,7 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Byte counts as negative keys are not possible, so raw folded 4-byte grams are counted and mapped to symbols later."""
+        stage.drop()
         held: dict[str, list[bytes]] = {}
         taken: dict[str, int] = {}
         for b in batches:

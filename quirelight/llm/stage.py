@@ -62,14 +62,19 @@ _SOLE: dict[Hashable, Any] = {}
 def sole(key: Hashable, make: Callable[[], Any]) -> Any:
     """The one large object that a Python worker keeps from task to task. Asking for another drops it, so stages of one session do not add up."""
     if key not in _SOLE:
-        _SOLE.clear()
+        drop()
         _SOLE[key] = make()
     return _SOLE[key]
 
 
 def drop() -> None:
     """In a Python worker: let go of what another operator's tasks have left, and give unused memory back."""
+    import contextlib
+    import ctypes
+
     import pyarrow as pa
 
     _SOLE.clear()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
