@@ -6,7 +6,7 @@ method C: seen there, count / (total + kinds); else an escape of kinds / (total
 a uniform choice. Statistics do not change while scoring, so each (context, symbol) has one exact code length per language and a text's
 code length is a sum over a table. The language with the shortest code wins.
 
-The training sample is bounded: texts of each language in the order of a hash of the row, up to SAMPLE_BYTES (documented
+The training sample is bounded: whole texts of each language in the order of a hash of the text, up to SAMPLE_BYTES (the last may exceed it) (documented
 parameter; everything else runs on every byte of every text). Trees are counted on executors; what the driver gathers are counts
 per language and (ORDER + 1)-gram of the sample, at most SAMPLE_BYTES for each language.
 
@@ -137,7 +137,6 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     # a language whose first cell exceeds the bound still gives that cell, of which the sample below takes a bounded part
     cells = run.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upto") <= sample_bytes, F.col("cell"))), F.min("cell")).alias("last"))
     sample = keyed.join(F.broadcast(cells) if cells.count() < 1000 else cells, "lang").where(F.pmod("h", F.lit(width)) <= F.col("last"))
-    per = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Byte counts as negative keys are not possible, so raw folded 4-byte grams are counted and mapped to symbols later."""
@@ -146,8 +145,8 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
         taken: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = text.encode()[:per]
                 if taken.get(lang, 0) < sample_bytes:
+                    data = text.encode()
                     held.setdefault(lang, []).append(data)
                     taken[lang] = taken.get(lang, 0) + len(data)
         for lang, parts in held.items():
