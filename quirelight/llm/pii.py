@@ -4,9 +4,12 @@ Base spans are the leftmost non-overlapping matches of each kind. Their values a
 TERM letters or more, folded) is held against the corpus: with N documents, of which df(t) hold the term, df(e) the entity and
 c(t, e) both, the entity's information is IC(e) = -log2(df(e) / N) and the term gives away PMI(t, e) = log2(c N / (df(t) df(e)))
 bits of it. In texts that hold the entity, terms that disclose GENERALISE of its bits or more are generalised, those that disclose
-REMOVE or more are removed. Counts are over all documents; a pair counts if SUPPORT different texts or more have it (copies say
-nothing new). The frequent entity is no hot key: pairs are aggregated before the shuffle, and only terms of texts that hold an
-entity of SUPPORT texts are counted in the corpus.
+REMOVE or more are removed. Every entity and every pair is estimated, also those of a single text or of a group of copies: a word that
+occurs nowhere else in the corpus points to the entity as the entity itself does. Counts are over all documents.
+
+As c is at most n_e, a share of GENERALISE needs df(t) <= N^(1 - GENERALISE) df(e)^GENERALISE: only such terms are paired, and none is lost
+by it. The entities of a text that occur in no other have equal counts and are paired once. The frequent entity is no hot key: pairs are
+aggregated before the shuffle.
 
 Defined results: null text is empty: no spans. Rows without doc_id are scanned too. Repeated rows each get their spans. Added spans never
 overlap base spans. Other columns are passed on by sanitise().
@@ -36,7 +39,9 @@ KINDS = [
 ]
 #: Only runs of 13 digits or more can be cards.
 CARD_AHEAD = r"[0-9](?:[\x20-]?[0-9]){12}"
-TERM, SUPPORT, GENERALISE, REMOVE = 4, 3, 0.9, 0.97
+TERM, GENERALISE, REMOVE = 4, 0.9, 0.97
+#: Different texts an entity or a pair must have to be estimated: one, so none is passed over.
+SUPPORT = 1
 WORD = rf"\p{{L}}{{{TERM},}}+"
 
 
@@ -56,7 +61,7 @@ def _entities() -> str:
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
-    """Of base_spans(): rows (entity, term, share) of terms that disclose GENERALISE or more of an entity."""
+    """Of base_spans(): rows (cls, term, share) of terms that disclose GENERALISE or more of an entity of the text whose MD5 is cls."""
     spark = found.sparkSession
     texts = found.select(F.md5("text").alias("cls"), "text", F.expr(f"array_distinct({_entities()})").alias("es"))
     held = texts.where(F.size("es") > 0)
@@ -64,19 +69,21 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", words.alias("ws"), "docs")
     once = stage.written(spark, once, "protected")
-    entity = once.select(F.explode("es").alias("entity"), "docs").groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("s")).where(F.col("s") >= SUPPORT).drop("s")
-    rows = once.select("docs", "ws", F.explode("es").alias("entity")).join(entity, "entity")
-    pairs = rows.select("entity", "n_e", "docs", F.explode("ws").alias("term")).groupBy("entity", "n_e", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("s")).where(F.col("s") >= SUPPORT).drop("s")
-    pairs = stage.written(spark, pairs, "pairs")
-    total = found.agg(F.count("*").alias("n"))
-    # frequency of the asked terms over all documents, added up before the shuffle
-    asked = stage.written(spark, pairs.select("term").distinct(), "terms")
-    if asked.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    corpus = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    df = corpus.join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
+    each = once.select("cls", "docs", F.explode("es").alias("entity"))
+    entity = each.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("s"))
+    sole = F.when(F.col("s") == 1, F.concat(F.lit("in:"), "cls")).otherwise(F.col("entity"))
+    holds = stage.written(spark, each.join(entity, "entity").select("cls", "docs", sole.alias("entity"), "n_e").distinct(), "holds")
+    size = found.agg(F.count("*").alias("n")).crossJoin(holds.agg(F.max("n_e").alias("top")))
+    # frequency of all terms over all documents, added up before the shuffle; a term too frequent for every entity goes
+    fits = "df <= pow(n, {0}) * pow({2}, {1}) * (1 + 1e-9)"
+    corpus = found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rare = corpus.crossJoin(F.broadcast(size)).where(fits.format(1 - GENERALISE, GENERALISE, "top")).drop("top")
+    asked = once.select("cls", F.explode("ws").alias("term")).join(stage.written(spark, rare, "rare"), "term")
+    rows = asked.join(holds, "cls").where("n_e < n").where(fits.format(1 - GENERALISE, GENERALISE, "n_e"))
+    rows = stage.written(spark, rows, "pairs")
     share = F.expr("log2(c * n / (df * n_e)) / -log2(n_e / n)")
-    return pairs.join(df, "term").crossJoin(F.broadcast(total)).where("n_e < n").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    pairs = rows.groupBy("entity", "term", "df", "n_e", "n").agg(F.sum("docs").alias("c")).select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    return rows.select("cls", "entity", "term").join(pairs, ["entity", "term"]).groupBy("cls", "term").agg(F.max("share").alias("share"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -86,15 +93,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     found = base_spans(docs)
-    terms = disclosing_terms(base_spans(docs.select("text")))
-    terms = stage.written(spark, terms, "disclosing")
-    rows = found.withColumn("_es", F.expr(f"array_distinct({_entities()})"))
     # what each protected text has to lose, by text
-    texts = base_spans(docs.select("text")).select(F.md5("text").alias("_cls"), F.expr(f"explode(array_distinct({_entities()}))").alias("entity")).distinct()
-    hit = texts.join(terms, "entity").groupBy("_cls", "term").agg(F.max("share").alias("share"))
-    hit = hit.groupBy("_cls").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_lost"))
+    hit = disclosing_terms(base_spans(docs.select("text")))
+    hit = hit.groupBy(F.col("cls").alias("_cls")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_lost"))
     hit = stage.written(spark, hit, "lost")
-    rows = rows.withColumn("_cls", F.when(F.size("_es") > 0, F.md5("text"))).join(hit, "_cls", "left")
+    # texts that hold nothing lose no term and stay out of the join
+    holding = F.expr(f"size({_entities()}) > 0")
+    rest = found.where(~holding).withColumn("_lost", F.lit(None).cast("map<string, double>"))
+    rows = found.where(holding).withColumn("_cls", F.md5("text")).join(hit, "_cls", "left").drop("_cls").unionByName(rest)
     base = "concat(" + ", ".join(f"transform(_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'stop', s.stop, 'label', '[{k.upper()}]'))" for k, *_ in KINDS) + ")"
     rows = rows.withColumn("_base", F.expr(base))
     own = spans("text", literal(WORD), "_lost[lower(value)] is not null")
