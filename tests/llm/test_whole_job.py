@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import re._parser as parser
+
+from quirelight.llm.licenses import GATE, rules, scan_licenses
 from quirelight.llm.pii import sanitise
 
 
@@ -13,3 +17,41 @@ def test_terms_of_an_entity_in_one_text_are_protected(spark):
     assert out[1] == " common words write to [EMAIL] today"
     assert out[2] == " common words write to [EMAIL] today"
     assert out[100] == rows[-120][1]
+
+
+def phrases(tree):
+    """Texts that take each alternative of a parsed regex; a repeated part is left out or taken once."""
+    out = [""]
+    for op, av in tree:
+        match str(op):
+            case "LITERAL":
+                more = [chr(av)]
+            case "IN":
+                more = [chr(x[1]) if str(x[0]) == "LITERAL" else chr(x[1][0]) for x in av]
+            case "SUBPATTERN":
+                more = phrases(av[3])
+            case "BRANCH":
+                more = [x for branch in av[1] for x in phrases(branch)]
+            case "MAX_REPEAT" | "MIN_REPEAT" | "POSSESSIVE_REPEAT":
+                more = ([""] if av[0] == 0 else []) + phrases(av[2])
+            case "ANY":
+                more = ["x"]
+            case "ASSERT_NOT":
+                more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative_of_a_license_rule_opens_its_gates():
+    for label, _, keywords, regex in rules():
+        for x in phrases(parser.parse(regex)):
+            assert any(w in f" {x} " for w in keywords.split("|")) and re.search(GATE, f" {x} "), (label, x)
+
+
+def test_licenses_by_full_name_and_long_holders(spark):
+    end = "may be used to endorse or promote products derived from this software without specific prior written permission."
+    holder = "the Institute of Applied Examples and Very Long Names of the University of Somewhere in the Middle nor the names of its contributors "
+    rows = [(1, "BSD Zero Clause License"), (2, "Do What The Fuck You Want To Public License"), (3, f"Neither the name of {holder}{end}"), (4, f"Neither the name of {'very long ' * 40_000}{end}"), (5, f"{'neither the name of x ' * 5_000}{end}")]
+    out = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "0bsd" in out[1] and "wtfpl" in out[2]
+    assert all("bsd-3-clause" in out[k] for k in (3, 4, 5))
