@@ -3,7 +3,7 @@
 Tokens are counted once for each distinct text. Longer documents are cut into full pieces and a rest; full pieces fill a sequence
 alone. The other pieces (only their lengths, not their tokens) are dealt into shares of many pieces. A share is packed
 best-fit decreasing and then improved by swap-based local search: among underfull bins, one document moves, or is exchanged one for one,
-or two for one, whenever this makes the sum of squared fills larger, which empties the emptier bins. A share's loss is
+or two for one, until no such step makes the sum of squared fills larger, which empties the emptier bins. A share's loss is
 about one bin of its thousands; shares depend on doc_id only, so a lost task is repeated with the same result.
 
 Defined results: null or empty text gives one end-of-document token. Rows without a doc_id take no part. Rows that repeat a
@@ -26,13 +26,11 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import stage
 
-#: Pieces in a share, about, and rounds of the local search over a share's underfull bins.
-SHARE, ROUNDS = 200_000, 4
+#: Pieces in a share, about.
+SHARE = 200_000
 #: Texts tokenised at once.
 TEXTS = 256
 _LITTLE = struct.Struct("<I").pack
-#: Underfull bins that a bin is compared with in one round.
-NEAR = 64
 
 
 class WordTokenizer:
@@ -154,48 +152,91 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Moves and exchanges between underfull bins, each of which increases the sum of squared fills; empty bins go."""
+    """Moves and exchanges between underfull bins until none increases the sum of squared fills; empty bins go.
+
+    A step gives up to two documents of a bin and takes up to one of another; net length may go either way. Each bin takes the best step
+    among all partners. A full bin is in no step, as nothing can be fuller.
+    """
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(ROUNDS):
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))
+    at: dict[tuple[int, int], dict[int, None]] = {}  # bins by fill and length of one of their documents; length 0: take nothing
+    rest: list[int] = [0] * (size + 1)  # lengths (as bits) by what a bin has without that document
+    fills: list[int] = [0] * (size + 1)  # fills (as bits) by length
+    low_t, low_f = np.full(size + 1, 1 << 30), np.full(size + 1, 1 << 30)  # the lowest bits
+
+    def low(bits: int) -> int:
+        return (bits & -bits).bit_length() - 1 if bits else 1 << 30
+
+    def index(k: int, put: bool) -> None:
+        f = fill[k]
+        if not 0 < f < size:
+            return
+        for t in {0, *(lengths[i] for i in bins[k])}:
+            held = at.setdefault((f, t), {})
+            if put:
+                held[k] = None
+            else:
+                del held[k]
+            if len(held) == put:
+                rest[f - t] ^= 1 << t
+                fills[t] ^= 1 << f
+                low_t[f - t] = low(rest[f - t])
+                if t:
+                    low_f[t] = low(fills[t])
+
+    def step(k: int) -> bool:
+        f = fill[k]
+        own = np.array([lengths[i] for i in bins[k]])
+        values, times = np.unique(own, return_counts=True)
+        pairs = values[:, None] + values[None, :]
+        s = np.unique(np.concatenate([[0], values, pairs[np.triu(np.ones(pairs.shape, bool), 1)], 2 * values[times > 1]]))[:, None]
+        v = np.arange(f + 1, size + 1)[None, :]  # the fuller bin's new fill
+        up = (s - low_t[v - s]) * (v - f)  # the partner becomes the fuller one
+        down = (v - low_f[v - f + s]) * (v - f)  # this bin does
+        best_up, best_down = int(up.argmax()), int(down.argmax())
+        gain = max(up.flat[best_up], down.flat[best_down])
+        if gain <= 0:
+            return False
+        x, y = divmod(best_up if up.flat[best_up] == gain else best_down, v.shape[1])
+        given, new = int(s[x, 0]), int(v[0, y])
+        if up.flat[best_up] == gain:
+            take = int(low_t[new - given])
+            partner = next(iter(at[new - given + take, take]))
+        else:
+            take = new - f + given
+            partner = next(iter(at[int(low_f[take]), take]))
+        where: dict[int, int] = {}
+        give: list[int] = []
+        for i in bins[k] if given else []:
+            if lengths[i] == given:
+                give = [i]
+                break
+            if given - lengths[i] in where and not give:
+                give = [where[given - lengths[i]], i]
+            where.setdefault(lengths[i], i)
+        back = next(([i] for i in bins[partner] if take and lengths[i] == take), [])
+        index(partner, False)
+        bins[k] = [i for i in bins[k] if i not in give] + back
+        bins[partner] = [i for i in bins[partner] if i not in back] + give
+        fill[k] += take - given
+        fill[partner] += given - take
+        index(partner, True)
+        return True
+
+    for k in range(len(bins)):
+        index(k, True)
+    changed = True
+    while changed:
         changed = False
-        for at, a in enumerate(under):
-            for b in reversed(under[max(at + 1, len(under) - NEAR) :]):
-                if not bins[a] or fill[b] == size:
-                    continue
-                lo, hi = (a, b) if fill[a] <= fill[b] else (b, a)
-                gap = size - fill[hi]
-                step = _better(bins[lo], bins[hi], lengths, gap)
-                if step:
-                    give, take = step
-                    moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    bins[lo] = [i for i in bins[lo] if i not in give] + take
-                    bins[hi] = [i for i in bins[hi] if i not in take] + give
-                    fill[lo] -= moved
-                    fill[hi] += moved
+        for k in sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k)):
+            if 0 < fill[k] < size:
+                index(k, False)
+                while 0 < fill[k] < size and step(k):
                     changed = True
-        if not changed:
-            break
+                index(k, True)
     return [b for b in bins if b]
 
 
-def _better(lo: list[int], hi: list[int], lengths: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """The step that brings most from the emptier bin into the fuller one, within its gap: a move, one for one, or two for one."""
-    best, found = 0, None
-    ups = sorted(hi, key=lambda i: lengths[i])
-    sizes = [lengths[i] for i in ups]
-    gives = [([i], lengths[i]) for i in lo]
-    if len(lo) <= 24:
-        gives += [([i, j], lengths[i] + lengths[j]) for k, i in enumerate(lo) for j in lo[k + 1 :]]
-    for give, n in gives:
-        if len(give) == 1 and best < n <= gap:
-            best, found = n, (give, [])
-        k = bisect_left(sizes, n - gap)  # the smallest one to take back
-        if k < len(ups) and n - sizes[k] > best:
-            best, found = n - sizes[k], (give, [ups[k]])
-    return found
-
-
 def pack_documents(docs: DataFrame, tokenizer: Callable[[], WordTokenizer], size: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; tokenizer() makes one whose encode() turns texts into ids as bytes."""
     spark = docs.sparkSession

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 import re
 import re._parser as parser
 
 from quirelight.llm.licenses import GATE, rules, scan_licenses
+from quirelight.llm.packing import local_search
 from quirelight.llm.pii import sanitise
 
 
@@ -55,3 +58,32 @@ def test_licenses_by_full_name_and_long_holders(spark):
     out = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "0bsd" in out[1] and "wtfpl" in out[2]
     assert all("bsd-3-clause" in out[k] for k in (3, 4, 5))
+
+
+def improving(bins, lengths, size):
+    """A step that local_search() must not leave, by trying all."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, x in enumerate(bins):
+        for b, y in enumerate(bins):
+            for give in [(), *itertools.combinations(x, 1), *itertools.combinations(x, 2)] if a != b else []:
+                for take in [(), *itertools.combinations(y, 1)]:
+                    d = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
+                    if max(fill[b] + d, fill[a] - d) <= size and d * (fill[b] - fill[a] + d) > 0:
+                        return a, b, give, take
+    return None
+
+
+def test_local_search_leaves_no_step():
+    rng = random.Random(3)
+    for size in (12, 30, 64):
+        for _ in range(20):
+            lengths = [rng.randint(1, size - 1) for _ in range(60)]
+            bins = local_search([[i] for i in range(60)], lengths, size)
+            assert sorted(i for b in bins for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= size for b in bins)
+            assert improving(bins, lengths, size) is None
+
+
+def test_local_search_reaches_beyond_the_fullest_bins():
+    # the bin of 4 fits only the bin of 6, which 100 fuller ones precede
+    lengths = [9] * 100 + [6, 4]
+    assert len(local_search([[i] for i in range(102)], lengths, 10)) == 101
