@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHAPTERS = """
 WITH original_chapters AS (
@@ -46,9 +47,23 @@ translated_chapters AS (
 """
 
 
+def whole_ids(files: DataFrame) -> DataFrame:
+    """files with ids of more than 5 digits whole in keys and names: the SQL's lpad cuts them to their first five."""
+    full = F.col("doc_id").cast("string")
+    cut = F.substring(full, 1, 5)
+    long = F.length(full) > 5
+    named = F.concat(full, F.expr("substring(file_name, 6)"))
+    return files.select(
+        "doc_id",
+        F.when(long, full).otherwise(F.col("chapter_key")).alias("chapter_key"),
+        F.when(long & F.startswith("file_name", F.concat(cut, F.lit("_"))), named).otherwise(F.col("file_name")).alias("file_name"),
+        "content",
+    )
+
+
 def editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(original, translated) chapters: doc_id, chapter_key, file_name, content."""
     spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").createOrReplaceTempView("_edition_documents")
     text = CHAPTERS.replace("FROM documents", "FROM _edition_documents")
     pick = "SELECT doc_id, chapter_key, file_name, content FROM "
-    return spark.sql(text + pick + "original_chapters"), spark.sql(text + pick + "translated_chapters")
+    return whole_ids(spark.sql(text + pick + "original_chapters")), whole_ids(spark.sql(text + pick + "translated_chapters"))
