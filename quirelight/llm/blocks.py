@@ -23,6 +23,8 @@ from . import stage
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Texts in a block at most.
+BLOCK_TEXTS = 1 << 20
 
 
 def pack(ids: list[int], texts: list[bytes]) -> bytes:
@@ -69,7 +71,7 @@ def stage_blocks(spark: SparkSession, texts: DataFrame, name: str) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_buffer().to_pybytes() if t.is_valid else b""
-                if held and size + len(t) > BLOCK_BYTES:
+                if held and (size + len(t) > BLOCK_BYTES or len(held) == BLOCK_TEXTS):
                     yield flush()
                 ids.append(i)
                 held.append(t)

@@ -8,9 +8,10 @@
    first each text against the smallest id among those that share a prefix shingle, which takes as many pairs as there are
    rows; then the texts that share one with another component than their own against all of that component and each other.
    No link that joins two components is lost.
-3. Candidates of a text are verified in a prefix tree (trie) of their ordered sets: it is walked depth first, the overlap
-   with the text's set is carried along shared beginnings, and a branch is left as soon as the overlap so far and
-   what remains on either side cannot reach the threshold. Candidates of a text with very many are dealt to several trees.
+3. Ordered sets are stored in prefix trees (see prefix_tree.py), one for each dealt group of texts, built once and walked
+   for every text that is held against the group: the overlap is carried along shared beginnings, and a branch is left as
+   soon as the overlap so far and what remains on either side cannot reach the threshold. Texts of a component of any size
+   are dealt to several trees, and joins on a component are spread (see skew.py).
 
 Defined results: null text and text without words: empty set, no links. Rows without a doc_id take no part. Rows that
 repeat a doc_id with different texts count as separate texts of one document id. Other columns are ignored.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import stage
 from .components import components, forest
+from .prefix_tree import PrefixTree
+from .skew import spread_join
 from .words import Words, mix, windows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,6 +68,13 @@ class _Block:
         self.distinct, self.at, self.df = np.unique(self.keys, return_inverse=True, return_counts=True)
 
 
+def _keys(block: int, n: int) -> np.ndarray:
+    """Numbers of a block's texts that no other text has: rows that repeat a doc_id stay apart. Blocks are written once, so a repeated task gives the same."""
+    task, made = block >> 32, block & 0xFFFFFFFF
+    assert task < 1 << 20 and made < 1 << 22 and n <= B.BLOCK_TEXTS
+    return (task << 43) + (made << 21) + np.arange(n)
+
+
 def _frequencies(lists: list[bytes]) -> list[bytes]:
     """One byte for each shingle: 0 for those of one text, else growing with the logarithm of the number of texts."""
     keys = [B.from40(x[: len(x) // 6 * 5]) for x in lists]
@@ -76,45 +86,16 @@ def _frequencies(lists: list[bytes]) -> list[bytes]:
 
 
 def in_tree(x: np.ndarray, nx: int, sets: list[np.ndarray], sizes: list[int], percent: int) -> list[bool]:
-    """Which sets have 100 |x & y| >= percent |x | y|, walking the tree of the ordered sets; nx and sizes count shingles of one text only too.
-
-    Sorted sets are the tree's leaves in depth-first order: the node where a set leaves the path of the one before is its common
-    beginning with it. overlap[d] is the number of shingles shared with x at depth d of the current path.
-    """
-    out = [False] * len(sets)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
-    path = np.empty(0, np.uint64)
-    overlap = np.zeros(1, np.int64)
-    dead, dead_need = -1, 0  # depth at which the last branch was left, for sets that need as much
-    for i in order:
-        y = sets[i]
-        m = min(len(path), len(y))
-        differ = np.flatnonzero(path[:m] != y[:m])
-        depth = int(differ[0]) if len(differ) else m
-        need = -(-percent * (nx + sizes[i]) // (100 + percent))
-        if 0 <= dead <= depth and need >= dead_need and len(y) <= len(path):
-            continue  # same subtree, no more to come than for the set that was given up
-        if min(len(x), int(overlap[depth]) + len(y) - depth) < need:
-            path, overlap, dead, dead_need = y[:depth], overlap[: depth + 1], -1, 0
-            continue
-        rest = y[depth:]
-        found = np.searchsorted(x, rest)
-        hit = (found < len(x)) & (x[np.minimum(found, len(x) - 1)] == rest) if len(x) else np.zeros(len(rest), bool)
-        overlap = np.concatenate([overlap[: depth + 1], overlap[depth] + np.cumsum(hit)])
-        path, dead, dead_need = y, -1, 0
-        out[i] = int(overlap[-1]) >= need
-        if not out[i]:
-            # first depth from which even all of the rest of y would not do
-            bound = overlap + (len(y) - np.arange(len(y) + 1))
-            dead, dead_need = int(np.argmax(bound < need)), need
-    return out
+    """Which sets have 100 |x & y| >= percent |x | y|; nx and sizes count shingles of one text only too."""
+    found = set(PrefixTree(sets, sizes, percent).similar(x, nx))
+    return [i in found for i in range(len(sets))]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (c, k) of candidate texts to those that are linked, as (a, b)."""
     # candidates of one text go to as many trees as their number asks for
-    many = pairs.groupBy("c").agg(F.count("*").alias("m"))
-    dealt = pairs.join(many, "c").select("c", "k", F.pmod(F.xxhash64("k"), F.ceil(F.col("m") / TREE).cast("long")).alias("tree"))
+    many = stage.written(pairs.sparkSession, pairs.groupBy("c").agg(F.count("*").alias("m")), "centres")
+    dealt = spread_join(pairs, many, "c", "m").select("c", "k", F.pmod(F.xxhash64("k"), F.ceil(F.col("m") / TREE).cast("long")).alias("tree"))
     members = dealt.join(sets.select(F.col("key").alias("k"), "n", "shared"), "k")
     centres = dealt.select("c", "tree").distinct().join(sets.select(F.col("key").alias("c"), "n", "shared"), "c")
     rows = members.select("c", "tree", "k", "n", "shared").unionByName(centres.select("c", "tree", F.col("c").alias("k"), "n", "shared"))
@@ -139,16 +120,18 @@ def _homes(outside: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     both outside the same home, or one is in it. A home's texts and those outside are dealt to trees, once each, and those outside
     go to each tree: rows grow with their number times the number of trees, not with pairs.
     """
-    placed = sets.join(comps.withColumnRenamed("id", "key"), "key", "left").withColumn("home", F.coalesce("component_id", "key")).drop("component_id")
-    own = placed.join(outside.select("home").distinct(), "home", "left_semi").select("home", "key", "n", "shared")
-    guests = outside.join(sets, "key").select("home", "key", "n", "shared")
-    size = outside.groupBy("home").agg(F.count("*").alias("x")).join(placed.groupBy("home").agg(F.count("*").alias("c")), "home", "left")
-    size = size.select("home", F.ceil((F.col("x") + F.coalesce("c", F.lit(0))) / TREE).cast("int").alias("trees"), F.ceil(F.col("x") / PROBES).cast("int").alias("parts"))
+    own = comps.select(F.col("component_id").alias("home"), F.col("id").alias("key"))
+    size = outside.groupBy("home").agg(F.count("*").alias("x")).join(own.groupBy("home").agg(F.count("*").alias("c")), "home", "left")
+    rows = F.col("x") + F.coalesce("c", F.lit(1))
+    size = size.select("home", F.col("c").isNull().alias("alone"), rows.alias("rows"), F.ceil(rows / TREE).cast("int").alias("trees"), F.ceil(F.col("x") / PROBES).cast("int").alias("parts"))
+    size = stage.written(sets.sparkSession, size, "home-sizes")
+    own = own.unionByName(size.where("alone").select("home", F.col("home").alias("key")))  # a text without links is a component too
+    size = size.drop("alone")
     deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["home", "tree", "part", "key", "n", "shared", "probe"]
-    leaves = own.union(guests).join(size, "home").withColumn("tree", deal("trees")).withColumn("part", every("parts")).withColumn("probe", F.lit(False))
-    probes = guests.join(size, "home").withColumn("part", deal("parts")).withColumn("tree", every("trees")).withColumn("probe", F.lit(True))
+    leaves = spread_join(own.unionByName(outside), size, "home", "rows").withColumn("tree", deal("trees")).withColumn("part", every("parts")).withColumn("probe", F.lit(False))
+    probes = spread_join(outside, size, "home", "rows").withColumn("part", deal("parts")).withColumn("tree", every("trees")).withColumn("probe", F.lit(True))
+    dealt = leaves.unionByName(probes).select("home", "tree", "part", "key", "probe").join(sets, "key")  # the sets travel last
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         stage.drop()
@@ -156,22 +139,23 @@ def _homes(outside: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
         key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
         load = [np.frombuffer(x, "<u8") for x in pdf["shared"]]
         prefix = [x[: max(0, m - -(-percent * m // 100) + 1 - (m - len(x)))] for x, m in zip(load, n.tolist())]
+        leaves = np.flatnonzero(~probe).tolist()
         holds: dict[int, list[int]] = {}
-        for i in np.flatnonzero(~probe).tolist():
-            for t in prefix[i].tolist():
+        for i, leaf in enumerate(leaves):
+            for t in prefix[leaf].tolist():
                 holds.setdefault(t, []).append(i)
+        tree = PrefixTree([load[k] for k in leaves], [int(n[k]) for k in leaves], percent)
         a, b = [], []
-        for i in np.flatnonzero(probe).tolist():
-            some = {j for t in prefix[i].tolist() for j in holds.get(t, ())}
-            some = [j for j in some if key[j] != key[i] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])]
-            linked = in_tree(load[i], int(n[i]), [load[j] for j in some], [int(n[j]) for j in some], percent)
-            got = [j for j, x in zip(some, linked) if x]
-            a += [key[i]] * len(got)
-            b += [key[j] for j in got]
+        for p in np.flatnonzero(probe).tolist():
+            some = {i for t in prefix[p].tolist() for i in holds.get(t, ())}
+            some = [i for i in some if key[leaves[i]] != key[p] and 100 * min(n[p], n[leaves[i]]) >= percent * max(n[p], n[leaves[i]])]
+            got = tree.similar(load[p], int(n[p]), some) if some else []
+            a += [key[p]] * len(got)
+            b += [key[leaves[i]] for i in got]
         u, v = forest(np.array(a, np.int64), np.array(b, np.int64))
         return pd.DataFrame({"a": u, "b": v})
 
-    return leaves.select(cols).unionByName(probes.select(cols)).groupBy("home", "tree", "part").applyInPandas(walk, "a long, b long")
+    return dealt.groupBy("home", "tree", "part").applyInPandas(walk, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -211,21 +195,21 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
                 yield pa.record_batch({
                     "cls": pa.array([hashlib.md5(t).hexdigest() for t in x.texts], pa.string()),
                     "rep": pa.array(x.ids, pa.int64()),
+                    "key": pa.array(_keys(row["block"], len(x.ids)), pa.int64()),
                     "n": pa.array(n, pa.int64()),
                     "prefix": pa.array([values[b - k : b - k + p] for b, k, p in zip(stop.tolist(), per.tolist(), prefix.tolist())], pa.list_(pa.int64())),
                     "shared": pa.array([ranked[b - k : b].tobytes() if p else None for b, k, p in zip(stop.tolist(), per.tolist(), prefix.tolist())], pa.binary()),
                 })
 
-    sets = stage.written(spark, B.with_answers(held, answered).mapInArrow(sets_of, "cls string, rep long, n long, prefix array<long>, shared binary"), "sets")
-    # a text's key is its class's hash: rows that repeat a doc_id stay apart
-    keyed = sets.withColumn("key", F.xxhash64("cls"))
-    held_sets = keyed.where("shared is not null").select("key", "n", "shared")
-    prefixes = stage.written(spark, keyed.where("shared is not null").select("key", "rep", "n", F.explode("prefix").alias("tok")), "prefixes")
+    sets = stage.written(spark, B.with_answers(held, answered).mapInArrow(sets_of, "cls string, rep long, key long, n long, prefix array<long>, shared binary"), "sets")
+    held_sets = sets.where("shared is not null").select("key", "n", "shared")
+    prefixes = stage.written(spark, sets.where("shared is not null").select("key", "rep", "n", F.explode("prefix").alias("tok")), "prefixes")
     fits = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
     # round 1: against the first text of each shingle
     first = prefixes.groupBy("tok").agg(F.count("*").alias("m"), F.min(F.struct("rep", "key", "n")).alias("f")).where("m > 1")
     stars = prefixes.join(first, "tok").where("key <> f.key").where(fits("n", "f.n")).select(F.col("f.key").alias("c"), F.col("key").alias("k")).distinct()
+    stars = stage.written(spark, stars, "stars")
     linked = stage.written(spark, _verified(stars, held_sets, percent), "linked")
     comps = components(spark, linked)
     # round 2: of each shingle's texts, those outside the first one's component against all of other components
@@ -237,8 +221,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     if not again.isEmpty():
         comps = components(spark, comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(again))
     # a component is named by its smallest document id
-    found = comps.join(keyed.select(F.col("key").alias("id"), "rep"), "id")
+    found = comps.join(sets.select(F.col("key").alias("id"), "rep"), "id")
     named = found.groupBy("component_id").agg(F.min("rep").alias("least"))
     done = comps.join(named, "component_id").select(F.col("id").alias("key"), F.col("least").alias("component_id"))
-    classes = keyed.select("cls", "rep", "key", F.col("n").alias("n_shingles")).join(done, "key", "left").select("cls", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    classes = sets.select("cls", "rep", "key", F.col("n").alias("n_shingles")).join(done, "key", "left").select("cls", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     return members.join(classes, "cls").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

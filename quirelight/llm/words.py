@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
-#: Bytes hashed at once; longer buffers are cut at white space.
-CHUNK = 1 << 20
 M64 = np.uint64
+#: Words of more bytes are hashed one by one.
+LONG = 1 << 10
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -20,21 +18,15 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z to a-z, other bytes unchanged.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_BYTE = {0: _odd(11, 256), 1: _odd(12, 256)}
-_BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
+#: What tells apart the two hash functions, and a step between the places of a word's lanes.
+_SEED = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
+_LANE = M64(0xA0761D6478BD642F)
+#: What keeps the first bytes of a lane of 8, by their number.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Multipliers of the places in a window, by hash function.
 _PLACE = {0: _odd(21, 64), 1: _odd(22, 64)}
 
 
-@lru_cache(maxsize=4)
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[which]
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[M64(1)], np.full(n, M64(base))]))
-        down = np.cumprod(np.concatenate([[M64(1)], np.full(n, M64(pow(base, -1, 2**64)))]))
-    return up, down
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     with np.errstate(over="ignore"):
@@ -50,23 +42,32 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[0::2], turn[1::2]
 
 
+def _lanes(lanes: np.ndarray, first: int, which: int) -> np.ndarray:
+    """Lanes of 8 bytes, each mixed with its place in its word: equal lanes at other places have nothing in common."""
+    with np.errstate(over="ignore"):
+        return mix(lanes + mix((np.arange(len(lanes), dtype=np.uint64) + M64(first)) * _LANE + M64(_SEED[which])))
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word; which selects one of two independent functions."""
-    out = np.empty(len(start), np.uint64)
-    at = 0
+    """A 64-bit hash of each word; which selects one of two independent functions.
+
+    A word is the sum of its mixed lanes, mixed again with its length. A word of up to 8 bytes is one lane, so of one length no two clash.
+    """
+    size = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    out = np.zeros(len(start), np.uint64)
     with np.errstate(over="ignore"):
-        while at < len(start):
-            low = int(start[at])
-            to = max(at + 1, int(np.searchsorted(end, low + CHUNK, "right")))
-            high = int(end[to - 1])
-            n = 1 << max(CHUNK.bit_length(), (high - low).bit_length())
-            up, down = _powers(which, n)
-            sums = np.cumsum(_BYTE[which][buf[low:high]] * up[: high - low])
-            s, e = start[at:to] - low, end[at:to] - low
-            h = sums[e - 1] - np.where(s > 0, sums[np.maximum(s, 1) - 1], M64(0))
-            out[at:to] = mix(h * down[s] + (e - s).astype(np.uint64))
-            at = to
-    return out
+        todo, k = np.arange(len(start)), 0
+        while len(todo):
+            lane = at[start[todo] + 8 * k] & _HEAD[np.minimum(size[todo] - 8 * k, 8)]
+            out[todo] += mix(lane + mix(M64(k) * _LANE + M64(_SEED[which])))
+            k += 1
+            todo = todo[(size[todo] > 8 * k) & (size[todo] <= LONG)]
+        for i in np.flatnonzero(size > LONG).tolist():
+            lanes = np.concatenate([buf[start[i] : end[i]], np.zeros(-size[i] % 8, np.uint8)]).view("<u8")
+            out[i] = _lanes(lanes, 0, which).sum(dtype=np.uint64)
+        return mix(out + size.astype(np.uint64) * _LANE)
 
 
 def windows(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
