@@ -275,3 +275,17 @@ def test_code_lengths_are_those_of_a_plain_walk():
         symbols = [int(x) for x in rng.integers(0, 7, ORDER + 1)]
         at = sum(x * SYMBOLS ** (ORDER - j) for j, x in enumerate(symbols))
         assert abs(table[at] / 256 - plain(symbols)) < 0.01
+
+
+def test_mixing_targets_and_clashing_names(spark):
+    rows = [(k, "w " * (5 + k % 7), "en" if k % 3 else "de", ["a", "b", None, "\0"][k % 4], 1.5, "x", k // 4 % 2) for k in range(400)]
+    df = spark.createDataFrame(rows + [(None, "w", "en", "a", 1.0, "x", 0), (401, None, "en", "a", 1.0, "x", 0)], "doc_id long, text string, lang string, source string, Weight double, probability string, topic int")
+    share = spark.createDataFrame([("a", 0.5), ("b", 0.2), (None, 0.2), ("\0", 0.1), ("gone", 9.0)], "source string, share double")
+    out = mix(df, budget=0.3, langs={"en": 0.5, "de": 0.5}, topics={"0": 0.6, "1": 0.4}, sources=share, topic=F.col("topic").cast("string"))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_tokens", "topic", "weight", "probability", "kept", "target_gap"]
+    got = out.toPandas()
+    assert len(got) == 401 and got["target_gap"].max() < 1e-4
+    mass = got["n_tokens"] * got["probability"] / (0.3 * got["n_tokens"].sum())
+    assert np.allclose([mass[got["lang"] == x].sum() for x in ("en", "de")], 0.5, atol=1e-3)
+    assert np.allclose([mass[got["topic"] == x].sum() for x in ("0", "1")], [0.6, 0.4], atol=1e-3)
+    assert np.allclose([mass[got["source"] == "a"].sum(), mass[got["source"].isna()].sum(), mass[got["source"] == "\0"].sum()], [0.5 / 1, 0.2, 0.1], atol=1e-3)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from quirelight.llm import pii
 from quirelight.llm.language_id import ORDER, SYMBOLS, fit
-from quirelight.llm.mixing import ROUNDS, CLOSE
+from quirelight.llm.mixing import ended, filled, step_of
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,44 +118,62 @@ def mixture(rows, budget, power=0.7):
     for _, t, lang, source in rows:
         cells[source, lang, topic(t)] += len(re.findall(WORD, t))
     cells = {k: v for k, v in cells.items() if v}
-    total = sum(cells.values())
+    amount = budget * sum(cells.values())
     want, factor = [], []
     for side in range(3):
         mass = Counter()
         for k, v in cells.items():
             mass[k[side]] += v
-        raised = {k: v**power for k, v in mass.items()}
-        want.append({k: v / sum(raised.values()) for k, v in raised.items()})
+        want.append(filled({k: v**power for k, v in mass.items()}, dict(mass), amount))
         factor.append(dict.fromkeys(mass, 1.0))
-
-    def masses(side):
-        out = Counter()
+        assert abs(sum(want[-1].values()) - amount) < 1e-6 * amount and all(want[-1][k] <= mass[k] for k in mass)
+
+    def solve(source):
+        """The source's factor by bisection."""
+        mine = [(v, factor[1][k[1]] * factor[2][k[2]]) for k, v in cells.items() if k[0] == source]
+        low, high = 0.0, 1 / min(r for _, r in mine)
+        for _ in range(200):
+            f = (low + high) / 2
+            low, high = (f, high) if sum(v * min(1.0, f * r) for v, r in mine) < want[0][source] else (low, f)
+        return high
+
+    gaps = []
+    while True:
+        factor[0] = {k: solve(k) for k in factor[0]}
+        p = {k: min(1.0, factor[0][k[0]] * factor[1][k[1]] * factor[2][k[2]]) for k in cells}
+        whole, part = Counter(), Counter()
         for k, v in cells.items():
-            out[k[side]] += v * factor[0][k[0]] * factor[1][k[1]] * factor[2][k[2]]
-        return out
-
-    def rake(side):
-        now = masses(side)
-        off = max(abs(now[k] - want[side][k]) for k in now)
-        factor[side] = {k: f * want[side][k] / now[k] for k, f in factor[side].items()}
-        return off
-
-    for _ in range(ROUNDS):
-        rake(0)
-        if max(rake(1), rake(2)) < CLOSE:
+            (whole if p[k] >= 1 - 1e-12 else part)[k[1], k[2]] += v * p[k]
+        side = lambda c, d, x: sum(v for k, v in c.items() if k[d] == x)
+        gaps.append(max(abs(side(whole, d, x) + side(part, d, x) - w) for d in (0, 1) for x, w in want[d + 1].items()) / amount)
+        if ended(gaps):
             break
-    rake(0)
-    weight = {k: factor[0][k[0]] * factor[1][k[1]] * factor[2][k[2]] for k in cells}
-    low, high = 0.5 / max(weight.values()), 2.0 / min(weight.values())
-    for _ in range(3):
-        grid = [low * (high / low) ** (k / 31) for k in range(32)]
-        k = next((k for k, c in enumerate(grid) if sum(v * min(1.0, weight[x] * c) for x, v in cells.items()) >= budget * total), 31)
-        low, high = grid[max(0, k - 1)], grid[k]
+        step = {x: step_of(w, side(whole, 0, x), side(part, 0, x)) for x, w in want[1].items()}
+        part = {k: v * step[k[0]] for k, v in part.items()}
+        factor[1] = {x: f * step[x] for x, f in factor[1].items()}
+        factor[2] = {x: f * step_of(want[2][x], side(whole, 1, x), side(part, 1, x)) for x, f in factor[2].items()}
     for r in rows:
         u = xxhash.xxh64_intdigest(struct.pack("<i", 0), xxhash.xxh64_intdigest(struct.pack("<q", r[0]), 42)) % (1 << 53) / (1 << 53)
         key = r[3], r[2], topic(r[1])
-        if u < (min(1.0, weight[key] * high) if key in weight else budget):
-            yield r
+        yield r, p.get(key, budget), u < p.get(key, budget)
+
+
+def test_mixing_equals_a_plain_version(spark):
+    from quirelight.llm import queries as Q
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    want = {r[0]: (p, kept) for r, p, kept in mixture([(i, t or "", lang, source) for i, t, lang, source in rows], 0.5)}
+    got = Q.op9_source_mixing(spark, SF).toPandas()
+    assert len(got) == len(rows)
+    for r in got.itertuples():
+        assert abs(r.probability - want[r.doc_id][0]) < 1e-6 and r.kept == want[r.doc_id][1] and abs(r.weight * 0.5 - r.probability) < 1e-12
+    # the sample's own marginals are the targets
+    expected, total = got["n_tokens"] * got["probability"], got["n_tokens"].sum()
+    for side in ("source", "lang", "topic"):
+        tokens = got.groupby(side)["n_tokens"].sum()
+        target = filled((tokens**0.7).to_dict(), tokens.to_dict(), 0.5 * total)
+        for value, mass in expected.groupby(got[side]).sum().items():
+            assert abs(mass - target[value]) < 1e-3 * 0.5 * total
 
 
 def test_pipeline(spark, tmp_path):
@@ -171,7 +189,7 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
-    rows = list(mixture(list(personal_data(near_duplicates(list(language(rows, fit(docs)))))), P.BUDGET))
+    rows = [r for r, _, kept in mixture(list(personal_data(near_duplicates(list(language(rows, fit(docs)))))), P.BUDGET) if kept]
     inner = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
     for i, t, *_ in rows:
