@@ -7,12 +7,15 @@ bits of it. In texts that hold the entity, terms that disclose GENERALISE of its
 REMOVE or more are removed. Every entity and every pair is estimated, also those of a single text or of a group of copies: a word that
 occurs nowhere else in the corpus points to the entity as the entity itself does. Counts are over all documents.
 
-As c is at most n_e, a share of GENERALISE needs df(t) <= N^(1 - GENERALISE) df(e)^GENERALISE: only such terms are paired, and none is lost
-by it. The entities of a text that occur in no other have equal counts and are paired once. The frequent entity is no hot key: pairs are
+A term is generalised to the class of words with its first STEM letters, written [abc*], if one of them is in so many documents that the
+class discloses less than GENERALISE of any entity (c is at most df(e)); else to the class of all terms, [TERM].
+
+As c is at most df(e), a share of GENERALISE needs df(t) <= N^(1 - GENERALISE) df(e)^GENERALISE: only such terms are paired, and none is lost
+by it. Entities that are held by the same texts have equal counts and are paired once. The frequent entity is no hot key: pairs are
 aggregated before the shuffle.
 
 Defined results: null text is empty: no spans. Rows without doc_id are scanned too. Repeated rows each get their spans. Added spans never
-overlap base spans. Other columns are passed on by sanitise().
+overlap base spans. Other columns are passed on by sanitise(), but for those named text, spans or sanitised (in any case of letters), which are its own.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stage
-from .spans import SPAN, literal, spans
+from .spans import SPAN, blocks, literal, replaced, spans
 
 #: Equal to the contract's patterns: possessive, and tried only where a match can begin, so that long runs take linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -39,9 +42,9 @@ KINDS = [
 ]
 #: Only runs of 13 digits or more can be cards.
 CARD_AHEAD = r"[0-9](?:[\x20-]?[0-9]){12}"
-TERM, GENERALISE, REMOVE = 4, 0.9, 0.97
-#: Different texts an entity or a pair must have to be estimated: one, so none is passed over.
-SUPPORT = 1
+TERM, GENERALISE, REMOVE, STEM = 4, 0.9, 0.97, 3
+#: Stands for the letters of base spans where words are looked for: a word that reaches into one is no term.
+COVERED = "\ue000"
 WORD = rf"\p{{L}}{{{TERM},}}+"
 
 
@@ -53,37 +56,53 @@ def _found(kind: str, pattern: str, keep: str, gate: str) -> str:
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs with a column for each kind: array of (start, stop, value); text is not null."""
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.withColumns({f"_{kind}": F.expr(_found(kind, p, keep, gate)) for kind, p, keep, gate in KINDS})
+    return docs.withColumns({f"__pii_{kind}": F.expr(_found(kind, p, keep, gate)) for kind, p, keep, gate in KINDS})
 
 
 def _entities() -> str:
-    return "concat(" + ", ".join(f"transform(_{k}, s -> concat('{k}:', lower(s.value)))" for k, *_ in KINDS) + ")"
+    return "concat(" + ", ".join(f"transform(__pii_{k}, s -> concat('{k}:', lower(s.value)))" for k, *_ in KINDS) + ")"
+
+
+def _base() -> str:
+    """SQL for all base spans of a row of base_spans(), by kind."""
+    return "concat(" + ", ".join(f"transform(__pii_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'stop', s.stop, 'label', '[{k.upper()}]'))" for k, *_ in KINDS) + ")"
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
-    """Of base_spans(): rows (cls, term, share) of terms that disclose GENERALISE or more of an entity of the text whose MD5 is cls."""
+    """Of base_spans(): rows (cls, added) of texts whose MD5 is cls; added holds the places (start, stop, label) of the terms that disclose an entity of the text."""
     spark = found.sparkSession
-    texts = found.select(F.md5("text").alias("cls"), "text", F.expr(f"array_distinct({_entities()})").alias("es"))
-    held = texts.where(F.size("es") > 0)
+    held = found.select(F.md5("text").alias("cls"), "text", F.expr(f"array_distinct({_entities()})").alias("es"), F.expr(_base()).alias("base")).where(F.size("es") > 0)
     # distinct texts that hold something, each once with its number of documents; the text travels only for those
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", words.alias("ws"), "docs")
+    once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", "base", "text", words.alias("ws"), "docs")
     once = stage.written(spark, once, "protected")
     each = once.select("cls", "docs", F.explode("es").alias("entity"))
-    entity = each.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("s"))
-    sole = F.when(F.col("s") == 1, F.concat(F.lit("in:"), "cls")).otherwise(F.col("entity"))
-    holds = stage.written(spark, each.join(entity, "entity").select("cls", "docs", sole.alias("entity"), "n_e").distinct(), "holds")
+    # entities held by the same texts count alike: they go by one name, made of sums over those texts
+    texts = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+    entity = each.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.concat_ws(":", F.count("*"), *texts).alias("same"))
+    holds = stage.written(spark, each.join(entity, "entity").select("cls", "docs", F.col("same").alias("entity"), "n_e").distinct(), "holds")
     size = found.agg(F.count("*").alias("n")).crossJoin(holds.agg(F.max("n_e").alias("top")))
-    # frequency of all terms over all documents, added up before the shuffle; a term too frequent for every entity goes
-    fits = "df <= pow(n, {0}) * pow({2}, {1}) * (1 + 1e-9)"
+    # frequency of all terms over all documents, added up before the shuffle; a term too frequent for every entity is wide
+    bound = "pow(n, {0}) * pow({2}, {1}) * (1 + 1e-9)"
     corpus = found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    rare = corpus.crossJoin(F.broadcast(size)).where(fits.format(1 - GENERALISE, GENERALISE, "top")).drop("top")
-    asked = once.select("cls", F.explode("ws").alias("term")).join(stage.written(spark, rare, "rare"), "term")
-    rows = asked.join(holds, "cls").where("n_e < n").where(fits.format(1 - GENERALISE, GENERALISE, "n_e"))
+    counted = corpus.crossJoin(F.broadcast(size)).withColumn("wide", F.expr(f"df > {bound.format(1 - GENERALISE, GENERALISE, 'top')}")).drop("top")
+    counted = stage.written(spark, counted, "counted")
+    asked = once.select("cls", F.explode("ws").alias("term")).join(counted.where("not wide").drop("wide"), "term")
+    rows = asked.join(holds, "cls").where("n_e < n").where(f"df <= {bound.format(1 - GENERALISE, GENERALISE, 'n_e')}")
     rows = stage.written(spark, rows, "pairs")
     share = F.expr("log2(c * n / (df * n_e)) / -log2(n_e / n)")
     pairs = rows.groupBy("entity", "term", "df", "n_e", "n").agg(F.sum("docs").alias("c")).select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
-    return rows.select("cls", "entity", "term").join(pairs, ["entity", "term"]).groupBy("cls", "term").agg(F.max("share").alias("share"))
+    lost = rows.select("cls", "entity", "term").join(pairs, ["entity", "term"]).groupBy("cls", "term").agg(F.max("share").alias("share"))
+    stem = F.substring("term", 1, STEM).alias("stem")
+    classes = counted.where("wide").select(stem).distinct().withColumn("wide", F.lit(True))
+    lost = lost.withColumn("stem", stem).join(classes, "stem", "left")
+    label = F.when(F.col("share") >= REMOVE, "").when(F.col("wide"), F.concat(F.lit("["), "stem", F.lit("*]"))).otherwise("[TERM]")
+    # the terms' places: words of the text in which base spans are covered up
+    covered = f"regexp_replace(regexp_replace(old, '{COVERED}|[^\\\\p{{L}}]', ' '), '[^ ]', '{COVERED}')"
+    hidden = F.expr(replaced("__held", "length(text)", "base", covered, clip=True))
+    places = once.withColumn("text", F.translate("text", COVERED, " ")).withColumn("__held", F.expr(blocks("text"))).select("cls", hidden.alias("hidden"))
+    own = places.select("cls", F.explode(F.expr(spans("hidden", literal(WORD.replace(r"\p{L}", rf"[\p{{L}}{COVERED}]")), f"not contains(value, '{COVERED}')"))).alias("s")).select("cls", "s.start", "s.stop", F.lower("s.value").alias("term"))
+    return own.join(lost.select("cls", "term", label.alias("label")), ["cls", "term"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "label"))).alias("added"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -92,31 +111,21 @@ def sanitise(docs: DataFrame) -> DataFrame:
     kind is a base kind or ``term``. The column text becomes the input's (null: empty); ``sanitised`` has each span replaced by its label.
     """
     spark = docs.sparkSession
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("spans", "sanitised")))
     found = base_spans(docs)
     # what each protected text has to lose, by text
-    hit = disclosing_terms(base_spans(docs.select("text")))
-    hit = hit.groupBy(F.col("cls").alias("_cls")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_lost"))
-    hit = stage.written(spark, hit, "lost")
+    hit = stage.written(spark, disclosing_terms(base_spans(docs.select("text"))).select(F.col("cls").alias("__pii_cls"), F.col("added").alias("__pii_added")), "lost")
     # texts that hold nothing lose no term and stay out of the join
     holding = F.expr(f"size({_entities()}) > 0")
-    rest = found.where(~holding).withColumn("_lost", F.lit(None).cast("map<string, double>"))
-    rows = found.where(holding).withColumn("_cls", F.md5("text")).join(hit, "_cls", "left").drop("_cls").unionByName(rest)
-    base = "concat(" + ", ".join(f"transform(_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'stop', s.stop, 'label', '[{k.upper()}]'))" for k, *_ in KINDS) + ")"
-    rows = rows.withColumn("_base", F.expr(base))
-    own = spans("text", literal(WORD), "_lost[lower(value)] is not null")
-    clear = "filter({}, s -> not exists(_base, b -> b.start < s.stop and s.start < b.stop))"
-    added = f"transform({clear.format(own)}, s -> named_struct('kind', 'term', 'start', s.start, 'stop', s.stop, 'label', if(_lost[lower(s.value)] >= {REMOVE}, '', '[TERM]')))"
-    rows = rows.withColumn("_added", F.expr(f"case when _lost is not null then {added} else slice(_base, 1, 0) end"))
-    rows = rows.withColumn("spans", F.expr("concat(_base, _added)"))
+    rest = found.where(~holding).withColumn("__pii_added", F.lit(None).cast(hit.schema["__pii_added"].dataType))
+    rows = found.where(holding).withColumn("__pii_cls", F.md5("text")).join(hit, "__pii_cls", "left").drop("__pii_cls").unionByName(rest)
+    added = "transform(coalesce(__pii_added, cast(array() as array<struct<start: bigint, stop: bigint, label: string>>)), s -> named_struct('kind', 'term', 'start', s.start, 'stop', s.stop, 'label', s.label))"
+    rows = rows.withColumn("spans", F.expr(f"concat({_base()}, {added})"))
     # spans of different kinds may overlap: what is covered already is skipped
-    clean = (
-        "aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'stop', s.stop, 'label', s.label))), named_struct('at', 0L, 'out', ''), "
-        "(a, s) -> named_struct('at', greatest(a.at, s.stop), 'out', if(s.start >= a.at, concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), s.label), a.out)), "
-        "a -> concat(a.out, substring(text, cast(a.at + 1 as int))))"
-    )
-    rows = rows.withColumn("sanitised", F.expr(f"case when size(spans) = 0 then text else {clean} end"))
-    names = [c for c in docs.columns if c != "text"]
-    return rows.select(*names, "text", "spans", "sanitised")
+    rows = rows.withColumn("__pii_held", F.expr(f"case when size(spans) > 0 then {blocks('text')} end"))
+    rows = rows.withColumn("sanitised", F.expr(f"case when size(spans) = 0 then text else {replaced('__pii_held', 'length(text)', 'spans', 'i.label')} end"))
+    names = [c for c in docs.columns if c.lower() != "text"]
+    return rows.select(*(F.col(f"`{c}`") for c in names), "text", "spans", "sanitised")
 
 
 def joined(array: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import embedding_near_dedup
 from .html_text import extract_text
 from .language_id import fit, fold_of, predict
-from .licenses import scan_licenses
+from .licenses import BASE, scan_licenses
 from .mixing import mix
 from .ngram_join import ngram_jaccard_join
 from .packing import WordTokenizer, pack_documents
@@ -92,12 +92,63 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op4_pii, which SQL can express."""
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+def _kind_sql(kind: str, pattern: str, keep: str) -> str:
+    return f"""SELECT doc_id, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+  SELECT doc_id, ms[i] AS m, CAST(list_sum(list_transform(ps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, ms, string_split_regex(t, '{pattern}') AS ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms FROM d))) WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(reverse({_DIGITS})[k] AS INTEGER) ELSE 2 * CAST(reverse({_DIGITS})[k] AS INTEGER) - CASE WHEN CAST(reverse({_DIGITS})[k] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+PII_BASE_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
+    + " UNION ALL ".join(
+        (
+            _kind_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+            _kind_sql("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right('0' || ltrim(x, '0'), 4) AS INTEGER) > 255)) = 0"),
+            _kind_sql("card", r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+            _kind_sql("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+        )
+    )
+    + """)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), start), '')) AS base_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(_table(spark, sf_dir, "documents"))
     word = F.transform("places", lambda p: p["word"])
     return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op6_license_scan, which SQL can express; -1 where there is no place."""
+    return op6_license_scan(spark, sf_dir).drop("labels", "score").na.fill(-1, ["first_word", "last_word"])
+
+
+def _phrase_sql(phrase: str) -> str:
+    return "(" + " AND ".join(f"ws[i + {k}] = '{w}'" if k else f"ws[i] = '{w}'" for k, w in enumerate(phrase.split())) + ")"
+
+
+LICENSE_BASE_SQL = (
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n_words, """
+    + ", ".join(f"list_filter(range(1, len(ws) + 1), lambda i: {_phrase_sql(phrase)}) AS p{k}" for k, (phrase, _) in enumerate(BASE))
+    + " FROM w), a AS (SELECT *, "
+    + " || ".join(f"p{k}" for k in range(len(BASE)))
+    + " AS every FROM p)\nSELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(coalesce(list_min(every), 0) - 1 AS BIGINT) AS first_word, CAST(coalesce(list_max(every), 0) - 1 AS BIGINT) AS last_word, array_to_string(list_sort(list_filter(["
+    + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(BASE))
+    + "], lambda x: x IS NOT NULL)), ',') AS base_labels FROM a"
+)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -136,10 +187,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "pii_base": pii_base,
+    "license_base": license_base,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "pii_base": PII_BASE_SQL,
+    "license_base": LICENSE_BASE_SQL,
 }

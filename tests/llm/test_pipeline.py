@@ -73,7 +73,10 @@ def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
 
 
-def personal_data(rows):
+def personal_data(rows, places=None):
+    """The sanitised rows; places gathers (id, base matches by kind, matches of terms)."""
+    places = [] if places is None else places
+
     def base(t):
         digits = lambda m: re.sub("[^0-9]", "", m[0])
         out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -84,28 +87,33 @@ def personal_data(rows):
     n, docs = len(rows), Counter(r[1] for r in rows)
     entities = {t: {f"{k}:{m[0].lower()}" for k, m in base(t)} for t in docs}
     words = {t: set(regex.findall(pii.WORD, t.lower())) for t in docs}
-    n_e, n_p, s_e, s_p, df = Counter(), Counter(), Counter(), Counter(), Counter()
+    n_e, n_p, df = Counter(), Counter(), Counter()
     for t, k in docs.items():
         df.update(dict.fromkeys(words[t], k))
         for e in entities[t]:
             n_e[e] += k
-            s_e[e] += 1
             n_p.update({(e, w): k for w in words[t]})
-            s_p.update((e, w) for w in words[t])
     share = {}
     for (e, w), c in n_p.items():
-        if s_e[e] >= pii.SUPPORT and s_p[e, w] >= pii.SUPPORT and n_e[e] < n:
+        if n_e[e] < n:
             share[e, w] = math.log2(c * n / (df[w] * n_e[e])) / -math.log2(n_e[e] / n)
+    bound = n ** (1 - pii.GENERALISE) * max(n_e.values(), default=0) ** pii.GENERALISE * (1 + 1e-9)
+    wide = {w[: pii.STEM] for w, k in df.items() if k > bound}
+
+    def label(w, lost):
+        return "" if lost >= pii.REMOVE else f"[{w[: pii.STEM]}*]" if w[: pii.STEM] in wide else "[TERM]"
+
     for i, t, lang, source in rows:
         spans = [(m.start(), m.end(), f"[{k.upper()}]") for k, m in base(t)]
         if spans:
             lost = {w: max(share.get((e, w), 0.0) for e in entities[t]) for w in words[t]}
             more = [m for m in regex.finditer(pii.WORD, t) if lost.get(m[0].lower(), 0) >= pii.GENERALISE and not any(a < m.end() and m.start() < b for a, b, _ in spans)]
-            spans += [(m.start(), m.end(), "" if lost[m[0].lower()] >= pii.REMOVE else "[TERM]") for m in more]
+            spans += [(m.start(), m.end(), label(m[0].lower(), lost[m[0].lower()])) for m in more]
+        places.append((i, base(t), more if spans else []))
         at, out = 0, ""
-        for a, b, label in sorted(spans):
+        for a, b, new in sorted(spans):
             if a >= at:
-                out += t[at:a] + label
+                out += t[at:a] + new
             at = max(at, b)
         yield i, out + t[at:], lang, source
 
@@ -158,6 +166,26 @@ def mixture(rows, budget, power=0.7):
         yield r, p.get(key, budget), u < p.get(key, budget)
 
 
+def test_personal_data_equals_a_plain_version(spark):
+    import hashlib
+
+    from quirelight.llm import queries as Q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "", "", "") for r in docs.collect()]
+    places = []
+    text = {r[0]: r[1] for r in personal_data(rows, places)}
+    want = set()
+    for i, base, more in places:
+        spans = [f"{k}:{m.start()}:{m.end()}" for kind in ("email", "ip", "card", "phone") for k, m in base if k == kind]
+        counts = [sum(k == kind for k, _ in base) for kind in ("email", "ip", "card", "phone")]
+        want.add((i, *counts, hashlib.sha256(",".join(spans).encode()).hexdigest(), ",".join(spans + [f"term:{m.start()}:{m.end()}" for m in more])))
+    assert any("term:" in x[-1] for x in want)
+    assert {tuple(r) for r in Q.op4_pii(spark, SF).collect()} == want
+    got = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(docs.select("doc_id", "text")).collect()}
+    assert got == text
+
+
 def test_mixing_equals_a_plain_version(spark):
     from quirelight.llm import queries as Q
 

@@ -87,3 +87,16 @@ def test_local_search_reaches_beyond_the_fullest_bins():
     # the bin of 4 fits only the bin of 6, which 100 fuller ones precede
     lengths = [9] * 100 + [6, 4]
     assert len(local_search([[i] for i in range(102)], lengths, 10)) == 101
+
+
+def test_many_entities_in_one_text_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"person{k} wrote from user{k}@corp{k}.example +49 30 {1000000 + k}" for k in range(16_000))
+    rows = [(1, text), (2, "plain words"), (3, "a@b.example é\ue000word longwordx")]
+    start = time.time()
+    out = {r["doc_id"]: r for r in sanitise(spark.createDataFrame([(*r, "old", "x") for r in rows], "doc_id long, text string, Spans string, note string")).collect()}
+    assert time.time() - start < 60
+    kinds = [s["kind"] for s in out[1]["spans"]]
+    assert kinds.count("email") == 16_000 and kinds.count("phone") == 16_000 and "@" not in out[1]["sanitised"]
+    assert out[1].asDict().keys() == {"doc_id", "text", "spans", "sanitised", "note"}
