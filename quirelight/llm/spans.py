@@ -7,17 +7,17 @@ SPAN = "struct<start: bigint, stop: bigint, value: string>"
 CHUNK, BLOCK = 512, 1024
 
 
-def running(array: str, kind: str, after: str, keep: str, item: str) -> str:
-    """SQL for a pass over an array that carries a place a.at from 0: of each x, item (of type kind) is gathered if keep, and after is the next place.
+def running(array: str, kind: str, after: str, keep: str, item: str, zero: str = "0L", state: str = "bigint") -> str:
+    """SQL for a pass over an array that carries a.at, a place from 0 or another state: of each x, item (of type kind) is gathered if keep, and after is the next state.
 
     Arrays cannot be appended to without a copy, so a chunk's items are gathered first and chunks are joined once at the end.
     """
     inner = (
         f"aggregate(slice(w, k * {CHUNK} + 1, {CHUNK}), named_struct('at', s.at, 'out', cast(array() as array<{kind}>)), "
-        f"(a, x) -> named_struct('at', cast({after} as bigint), 'out', if({keep}, concat(a.out, array({item})), a.out)))"
+        f"(a, x) -> named_struct('at', cast({after} as {state}), 'out', if({keep}, concat(a.out, array({item})), a.out)))"
     )
     outer = (
-        f"aggregate(sequence(0, cast((size(w) - 1) div {CHUNK} as int)), named_struct('at', 0L, 'out', cast(array() as array<array<{kind}>>)), "
+        f"aggregate(sequence(0, cast((size(w) - 1) div {CHUNK} as int)), named_struct('at', {zero}, 'out', cast(array() as array<array<{kind}>>)), "
         f"(s, k) -> transform(array({inner}), i -> named_struct('at', i.at, 'out', concat(s.out, array(i.out))))[0], s -> flatten(s.out))"
     )
     return f"transform(array({array}), w -> if(size(w) > 0, {outer}, cast(array() as array<{kind}>)))[0]"
