@@ -218,7 +218,8 @@ def test_language(spark, none):
     odd = spark.createDataFrame([(1, None), (2, "123 !!"), (3, ""), (4, "a" * 3_000_000)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in predict(odd, model, ["doc_id"]).collect()}
     assert [rows[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and rows[4]["lang_pred"] != "und"
-    # the code lengths are those of the trees walked symbol by symbol
+    clash = predict(odd.withColumns({"Score": F.lit("x"), "lang_pred": F.lit(1)}), model, ["doc_id", "Score", "lang_pred"])
+    assert clash.columns == ["doc_id", "lang_pred", "score", "bits_per_byte"] and clash.count() == 4
     assert predict(none, fit(none), ["doc_id"]).count() == 0
     assert predict(odd, fit(none), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
@@ -245,36 +246,50 @@ def test_mixing(spark, docs, none):
 
 
 def test_code_lengths_are_those_of_a_plain_walk():
-    from quirelight.llm.language_id import ORDER, SYMBOLS, code_lengths
+    from quirelight.llm.language_id import ORDER, SYMBOLS, Tree, grams, suffixes
 
     rng = np.random.default_rng(4)
-    s = rng.integers(0, 5, 400)
-    grams = defaultdict(int)
-    for k in range(ORDER, len(s)):
-        grams[sum(int(x) * SYMBOLS ** (ORDER - j) for j, x in enumerate(s[k - ORDER : k + 1]))] += 1
-    g = np.array(sorted(grams))
-    table = code_lengths(g, np.array([grams[x] for x in g.tolist()]))
-
-    def plain(symbols):
+    s = (97 + rng.integers(0, 5, 400)).astype(np.uint8)
+    counted = defaultdict(int)
+    padded = bytes(32 for _ in range(ORDER)) + s.tobytes()
+    for k in range(len(s)):
+        counted[padded[k : k + ORDER + 1]] += 1
+    g, c = np.unique(grams(s), return_counts=True)
+    assert {int(x).to_bytes(ORDER + 1, "big"): n for x, n in zip(g, c.tolist())} == counted
+
+    def plain(context, symbol):
         cost = 0.0
         for order in range(ORDER, -1, -1):
-            size = SYMBOLS**order
-            ctx = sum(x * SYMBOLS ** (order - 1 - j) for j, x in enumerate(symbols[ORDER - order : ORDER]))
             seen = defaultdict(int)
-            for x, c in grams.items():
-                if (x // SYMBOLS) % size == ctx:
-                    seen[x % SYMBOLS] += c
+            for x, n in counted.items():
+                if x[ORDER - order : ORDER] == context[ORDER - order :]:
+                    seen[x[ORDER]] += n
             total, kinds = sum(seen.values()), len(seen)
-            if seen[symbols[ORDER]] > 0:
-                return cost - np.log2(seen[symbols[ORDER]] / (total + kinds))
+            if seen[symbol] > 0:
+                return cost - np.log2(seen[symbol] / (total + kinds))
             if kinds:
                 cost -= np.log2(kinds / (total + kinds))
         return cost + np.log2(SYMBOLS)
 
-    for _ in range(100):
-        symbols = [int(x) for x in rng.integers(0, 7, ORDER + 1)]
-        at = sum(x * SYMBOLS ** (ORDER - j) for j, x in enumerate(symbols))
-        assert abs(table[at] / 256 - plain(symbols)) < 0.01
+    some = [bytes(x) for x in np.unique(97 + rng.integers(0, 7, (100, ORDER + 1)).astype(np.uint8), axis=0)]
+    got = Tree(g, c).bits(suffixes(np.array([int.from_bytes(x, "big") for x in some], np.uint64)))
+    assert np.allclose(got, [plain(x[:ORDER], x[ORDER]) for x in some], atol=1e-9)
+
+
+def test_language_sample_is_bounded_and_independent_of_partitions(spark):
+    from quirelight.llm.language_id import _sample
+
+    rng = np.random.default_rng(6)
+    rows = [("en", words(rng, int(rng.integers(1, 60)))) for _ in range(400)] + [("en", "copy of one text")] * 500
+    rows += [("de", "kurz"), ("de", "x" * 90_000), ("fr", "y" * 50_000), ("fr", "z" * 40_000)]
+    want = None
+    for parts in (1, 7):
+        got = sorted(map(tuple, _sample(spark.createDataFrame(rows, "lang string, text string").repartition(parts), 16_000).collect()))
+        assert want is None or got == want
+        want = got
+    size = sum(len(t) for lang, t in want if lang == "en")
+    assert 15_000 <= size <= 16_000 and len(set(want)) == len(want)
+    assert [t for lang, t in want if lang == "de"] == ["kurz"] and len([t for lang, t in want if lang == "fr"]) == 1
 
 
 def test_mixing_targets_and_clashing_names(spark):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quirelight.llm import pii
-from quirelight.llm.language_id import ORDER, SYMBOLS, fit
+from quirelight.llm.language_id import ORDER, SYMBOL, SYMBOLS, fit
 from quirelight.llm.mixing import ended, filled, step_of
 
 SF = "/root/testdata/sf0.001"
@@ -28,9 +28,9 @@ def language(rows, model):
     for grams, counts in model.counted:
         tree = defaultdict(Counter)
         for g, c in zip(grams.tolist(), counts.tolist()):
-            s = [g // SYMBOLS ** (ORDER - k) % SYMBOLS for k in range(ORDER + 1)]
+            s = tuple(g.to_bytes(ORDER + 1, "big"))
             for k in range(ORDER + 1):
-                tree[tuple(s[k:ORDER])][s[ORDER]] += c
+                tree[s[k:ORDER]][s[ORDER]] += c
         trees.append((tree, {}))
 
     def bits(tree, held, s):
@@ -50,9 +50,9 @@ def language(rows, model):
 
     for i, text, _, source in rows:
         if regex.search(r"\p{L}", text or ""):
-            s = (0,) * ORDER + tuple(model.table[np.frombuffer(text.encode(), np.uint8)].tolist())
+            s = (32,) * ORDER + tuple(SYMBOL[np.frombuffer(text.encode(), np.uint8)].tolist())
             costs = [sum(bits(tree, held, s[k : k + ORDER + 1]) for k in range(len(s) - ORDER)) for tree, held in trees]
-            if min(costs) / len(text.encode()) < 6:
+            if min(costs) / len(text.encode()) < math.log2(SYMBOLS):
                 yield i, text, model.langs[costs.index(min(costs))], source
 
 
