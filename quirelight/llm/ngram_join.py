@@ -159,7 +159,10 @@ def _homes(outside: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id: components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more."""
+    """doc_id, n_shingles, component_id, text_class: components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
+
+    text_class is the MD5 of the folded text; it tells apart rows that repeat a doc_id.
+    """
     spark, parts = docs.sparkSession, stage.buckets(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     members, least = B.text_classes(docs, folded(F.col("text")))
@@ -225,4 +228,4 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     named = found.groupBy("component_id").agg(F.min("rep").alias("least"))
     done = comps.join(named, "component_id").select(F.col("id").alias("key"), F.col("least").alias("component_id"))
     classes = sets.select("cls", "rep", "key", F.col("n").alias("n_shingles")).join(done, "key", "left").select("cls", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    return members.join(classes, "cls").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return members.join(classes, "cls").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("text_class"))

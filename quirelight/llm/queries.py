@@ -54,7 +54,7 @@ FROM s QUALIFY rank <= 10
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=5, percent=75)
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=5, percent=75).drop("text_class")
 
 
 OP2_SQL = r"""

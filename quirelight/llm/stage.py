@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -43,13 +44,39 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+_WRITTEN: list[str] = []
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder, and read again: a lost executor costs a reread, not a recomputation."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """What is written inside is deleted at the end, but for the last keep tables; only for results that are written inside themselves."""
+    first = len(_WRITTEN)
+    try:
+        yield
+        stop = len(_WRITTEN) - keep
+    except BaseException:
+        stop = len(_WRITTEN)
+        raise
+    finally:
+        clean(spark, first, stop)
+
+
+def clean(spark: SparkSession, first: int = 0, stop: int | None = None) -> None:
+    """Delete the tables that this process has written in the shared folder (of those from first to stop); results that read them are void."""
+    for path in _WRITTEN[first:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[first:stop]
+
+
 def buckets(spark: SparkSession) -> int:
     """Number of hash buckets of a blob exchange: the session's shuffle partitions, which the operator of a cluster sizes to its data."""
     ship(spark)

@@ -8,7 +8,8 @@ upper bound is below the k-th best of those scores; processing stops once few ve
 The result is exact whenever it stops.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without a vec_id.
-Only vectors of a query's length are its candidates. Ties go to the smaller vec_id. Other columns are ignored.
+Only vectors of a query's length are its candidates. Ties go to the smaller vec_id. Repeated vec_ids are candidates each for itself. Other
+columns are ignored. Components so large that a score may not fit 64 bits raise an error (OverflowError in the task), as no rank would be right.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ class ImpactIndex:
     def __init__(self, v: np.ndarray):
         self.v = v
         self.low, self.high = v.min(axis=0), v.max(axis=0)
+        self.most = float(np.abs(v.astype(float)).max())
+        if self.most >= 2.0**31:  # impacts are not worth their memory: see search()
+            self.lists = {}
+            return
         self.step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
         self.lists = {}
         for sign, level in {1: (v - self.low) // self.step, -1: (self.high - v) // self.step}.items():
@@ -54,7 +59,8 @@ class ImpactIndex:
         left[own] = False
         dims = np.flatnonzero(q)
         few = max(4 * k, n // RESCORED)
-        if left.sum() <= few or not len(dims):
+        # bounds are held in doubles, which are exact below 2^53
+        if left.sum() <= few or not len(dims) or not self.lists or self.most * float(np.abs(q.astype(float)).max()) * len(q) >= 2.0**53:
             return np.flatnonzero(left)
         weight, side = np.abs(q[dims]), q[dims] > 0
         unit = weight * self.step[dims]
@@ -107,6 +113,8 @@ def _search(k: int):
         out = []
         for qid, q in zip(asked["vec_id"].tolist(), asked["v"]):
             q = np.asarray(q, np.int64)
+            if index.most * float(np.abs(q.astype(float)).max()) * len(q) >= 2.0**63:
+                raise OverflowError(f"a score of vec_id {qid} may not fit 64 bits")
             own = np.arange(*np.searchsorted(ids, [qid, qid + 1]))
             some = index.search(q, k, own)
             score = index.v[some] @ q

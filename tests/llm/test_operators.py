@@ -78,7 +78,7 @@ def test_jaccard_join(docs, texts, none):
             sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and sets[b]]
     least = closure(sets, links)
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(docs).collect()}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(docs.withColumn("text_class", F.lit("clash"))).collect()}
     assert got == {(i, len(s), least[i]) for i, s in sets.items()}
     assert ngram_jaccard_join(none).count() == 0
 
@@ -304,3 +304,13 @@ def test_mixing_targets_and_clashing_names(spark):
     assert np.allclose([mass[got["lang"] == x].sum() for x in ("en", "de")], 0.5, atol=1e-3)
     assert np.allclose([mass[got["topic"] == x].sum() for x in ("0", "1")], [0.6, 0.4], atol=1e-3)
     assert np.allclose([mass[got["source"] == "a"].sum(), mass[got["source"].isna()].sum(), mass[got["source"] == "\0"].sum()], [0.5 / 1, 0.2, 0.1], atol=1e-3)
+
+
+def test_large_components_give_exact_ranks_or_an_error(spark):
+    rows = [(0, [float(1 << 20), 1.0]), (1, [float(1 << 17), 3.0]), (2, [float(1 << 17), 2.0]), (3, [-float(1 << 17), 0.0]), (3, [float(1 << 16), 0.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    got = [tuple(r) for r in exact_top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    q = [1 << 30, 1024]
+    assert got == [(0, k, i, q[0] * int(1024 * v[0]) + q[1] * int(1024 * v[1])) for k, (i, v) in enumerate([rows[1], rows[2], rows[4], rows[3]], 1)]
+    with pytest.raises(Exception, match="64 bits"):
+        exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1e9])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
