@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.llm import stage
+from quirelight.llm.language_id import OUT as PREDICTED
 from quirelight.llm.language_id import SYMBOLS, fit, predict
+from quirelight.llm.mixing import OUT as MIXED
 from quirelight.llm.mixing import mix
-from quirelight.llm.ngram_join import ngram_jaccard_join
+from quirelight.llm.ngram_join import folded, ngram_jaccard_join
 from quirelight.llm.packing import pack_documents
 from quirelight.llm.pii import sanitise
 from quirelight.llm.queries import _word_bpe
@@ -17,31 +21,52 @@ from quirelight.llm.queries import _word_bpe
 BUDGET = 0.8
 
 
+def hidden(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that are named as an operator's own under other names, and the way back: their values are not the operator's."""
+    clash = {c: f"__kept_{k}" for k, c in enumerate(docs.columns) if c.lower() in names}
+    return docs.withColumnsRenamed(clash), {v: k for k, v in clash.items()}
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled rows; lang becomes the predicted one.
 
     Rejected: texts that are null or have no letter, and texts that no language's model codes below the uniform code.
     """
-    out = predict(docs, fit(docs), [c for c in docs.columns if c != "lang"])
-    out = out.where("lang_pred <> 'und'").where(F.col("bits_per_byte") < float(SYMBOLS.bit_length() - 1))
-    return out.withColumnRenamed("lang_pred", "lang").select(*docs.columns)
+    rows, back = hidden(docs, PREDICTED)
+    out = predict(rows, fit(docs), [c for c in rows.columns if c != "lang"])
+    out = out.where("lang_pred <> 'und'").where(F.col("bits_per_byte") < math.log2(SYMBOLS))
+    out = out.drop("score", "bits_per_byte").withColumnRenamed("lang_pred", "lang")
+    return out.withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with alike shingles, the one with the smallest doc_id."""
-    kept = ngram_jaccard_join(docs, width=5, percent=75).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of documents with alike shingles, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document: of the kept id's rows one stays, of different texts the one with the smallest MD5.
+    Rows without a doc_id belong to no component and stay.
+    """
+    found = ngram_jaccard_join(docs, width=5, percent=75).where("doc_id = component_id")
+    kept = found.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("text_class").alias("__class"))
+    kept = stage.written(spark, kept, "kept")
+    once = docs.join(kept.where("__rows = 1"), "doc_id", "left_semi")
+    # a repeated id: its rows with the chosen text, of which any stands for the others
+    text = F.md5(folded(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("__class", text).join(kept.where("__rows > 1"), ["doc_id", "__class"])
+    several = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return once.select(*docs.columns).unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and what reveals it replaced."""
-    out = sanitise(docs).withColumn("text", F.col("sanitised"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, back = hidden(docs, ("spans", "sanitised"))
+    out = sanitise(rows).withColumn("text", F.col("sanitised")).drop("spans", "sanitised")
+    return out.withColumn("n_chars", F.length("text").cast("long")).withColumnsRenamed(back).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that tokens meet the target marginals of source, language and topic."""
-    return mix(docs, budget=BUDGET).where("kept").select(*docs.columns)
+    rows, back = hidden(docs, MIXED)
+    return mix(rows, budget=BUDGET).where("kept").drop(*MIXED).withColumnsRenamed(back).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage.written(spark, step(spark, docs, sf_dir), name)
+    with stage.temporary(spark):  # only the last stage's table stays
+        for name, step in STAGES:
+            docs = stage.written(spark, step(spark, docs, sf_dir), name)
     return docs
