@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import struct
@@ -58,7 +59,10 @@ def language(rows, model):
 
 def near_duplicates(rows):
     sets = {}
-    for i, text, *_ in rows:
+    kept = {}
+    for r in sorted(rows, key=lambda r: hashlib.md5(r[1].translate({c: c + 32 for c in range(65, 91)}).encode()).hexdigest()):
+        kept.setdefault(r[0], r)
+    for i, text, *_ in kept.values():
         w = re.findall(WORD, text.translate({c: c + 32 for c in range(65, 91)}))
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
     least = {i: i for i in sets}
@@ -66,7 +70,7 @@ def near_duplicates(rows):
     for _ in sets:
         for a, b in links:
             least[a] = least[b] = min(least[a], least[b])
-    return [r for r in rows if least[r[0]] == r[0]]
+    return [r for r in kept.values() if least[r[0]] == r[0]]
 
 
 def luhn(digits):
@@ -167,8 +171,6 @@ def mixture(rows, budget, power=0.7):
 
 
 def test_personal_data_equals_a_plain_version(spark):
-    import hashlib
-
     from quirelight.llm import queries as Q
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -232,3 +234,24 @@ def test_pipeline(spark, tmp_path):
         stops = np.cumsum([n for _, n in sorted(parts)])
         assert [a for a, _ in sorted(parts)] == [0, *stops[:-1]] and stops[-1] <= 2048
     assert len(bins) <= -(-sum(x[3] for x in want) // 2048) + 2
+
+
+def test_awkward_tables_pass_all_stages(spark, tmp_path):
+    """Empty tables, rows without an id, repeated ids and columns that are named as the operators' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "spans", "Sanitised", "weight", "probability", "kept", "topic", "n_tokens", "lang_pred", "text_class", "component_id", "cls"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    long = docs.orderBy(F.desc("n_chars")).limit(1).first()
+    clean = wide.where(F.col("doc_id") == long["doc_id"])
+    table = wide.unionByName(clean.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(clean).unionByName(clean)
+    for k, docs in enumerate((table, table.limit(0))):
+        for name, step in P.STAGES[:-1]:
+            out = step(spark, docs, str(tmp_path))
+            assert out.columns == table.columns, name
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            assert docs.where("doc_id is not null").where("score <> concat('score', doc_id) or kept <> concat('kept', doc_id) or spans <> concat('spans', doc_id)").isEmpty()
+            if k == 0 and name == "near_duplicates":
+                assert docs.where("doc_id is null").count() == 1 and docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+        rows = P.packing(spark, docs, str(tmp_path))
+        assert rows.isEmpty() == (k == 1)
