@@ -32,7 +32,7 @@ from .words import FOLD
 ORDER = 4
 SAMPLE_BYTES = 1 << 20
 #: Bytes and texts scored at once.
-PIECE, TEXTS = 1 << 20, 512
+PIECE, TEXTS = 1 << 19, 512
 #: Columns of the result.
 OUT = ("lang_pred", "score", "bits_per_byte")
 #: Byte to symbol.

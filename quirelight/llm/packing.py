@@ -41,8 +41,8 @@ class WordTokenizer:
     they are cut, so a word's spellings share an entry. Texts that contain one of the file's special tokens go to the library whole.
     """
 
-    #: Chunks and words kept in memory, about.
-    HELD = 700_000
+    #: Bytes of chunks and words kept in memory, about, and what an entry takes beside its text and ids.
+    HELD, ENTRY = 128 << 20, 200
     #: Marks that often end a chunk; a run of them is one word.
     MARKS = ".,;:!?$#&*%"
 
@@ -63,6 +63,7 @@ class WordTokenizer:
         other = [b for b in range(256) if b not in plain]
         self.stand_in = {b: 256 + k for k, b in enumerate(other)}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -77,7 +78,12 @@ class WordTokenizer:
         ids = self.known.get(word)
         if ids is None:
             found = self.merge(word.encode().decode("latin-1").translate(self.stand_in))
-            ids = self.known[word] = b"".join([_LITTLE(x.id) for x in found])
+            ids = self._keep(word, b"".join([_LITTLE(x.id) for x in found]))
+        return ids
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        self.held += len(text) + len(ids) + self.ENTRY
+        self.known[text] = ids
         return ids
 
     def _chunk(self, chunk: str, simple: bool) -> bytes:
@@ -93,8 +99,7 @@ class WordTokenizer:
         return self._kept(chunk, self.words.findall(low))
 
     def _kept(self, chunk: str, words: list[str]) -> bytes:
-        ids = self.known[chunk] = b"".join([self._word(w) for w in words])
-        return ids
+        return self._keep(chunk, b"".join([self._word(w) for w in words]))
 
     def _text(self, text: str) -> bytes:
         try:
@@ -113,8 +118,9 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.known) > self.HELD:
+            if self.held > self.HELD:
                 self.known.clear()
+                self.held = 0
             out.append(self._text(text))
         return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 SPAN = "struct<start: bigint, stop: bigint, value: string>"
 #: Items that a pass gathers before it sets them aside, and code points in a block of a text.
-CHUNK, BLOCK = 512, 1024
+CHUNK, BLOCK = 64, 1024
 
 
 def running(array: str, kind: str, after: str, keep: str, item: str, zero: str = "0L", state: str = "bigint") -> str:
