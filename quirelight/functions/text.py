@@ -10,6 +10,7 @@ WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
 W = r"[\p{L}\p{N}_]"
 B0, B1 = rf"(?<!{W})", rf"(?!{W})"
+# The patterns decide what the audits find.
 FENCE = r"```[\s\S]*?```"
 QUOTE = r"(?dm)^>[\s\S]*?(?=^>|\n\n|\z)"
 HTML_CODE = r"(?s)<blockquote[^>]*>(.*?)</blockquote>"
@@ -73,12 +74,13 @@ def images(text: Column, pattern: str, alt: int, src: int) -> Column:
 
 
 def known(text: Column, terms: list[str]) -> Column:
-    """Terms that are substrings of text; one pass per term, no rows are multiplied."""
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    """Terms that are substrings of text; one pass per term in generated code, no rows are multiplied."""
+    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms)))
 
 
 def has_identifier(text: Column, name: str) -> Column:
-    return text.rlike(rf"{B0}{name}{B1}")
+    """At word boundaries; the regex runs only where the bare name is."""
+    return F.contains(text, F.lit(name)) & text.rlike(rf"{B0}{name}{B1}")
 
 
 def preview(text: Column) -> Column:

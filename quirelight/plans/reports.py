@@ -81,3 +81,61 @@ def verification_report_lines(results: DataFrame) -> DataFrame:
         F.when((F.col("original") != "") | (F.col("translated") != ""), F.concat(F.lit("   - 原文: `"), "original", F.lit("` → 译文: `"), "translated", F.lit("`"))),
     )
     return results.select("check_ord", "file_name", "pos", F.posexplode(lines).alias("c", "line")).where("line is not null")
+
+
+def chapter_report_lines(issues: DataFrame, paired: DataFrame) -> DataFrame:
+    """The part on chapters of the issue report, as rows (chapter_num, original_file, c, line): those with issues, and the first five of each."""
+    rows = chapter_issue_detail(issues, paired)
+    head = F.array(
+        F.format_string("### Chapter %d: %s", "chapter_num", "chapter_title"),
+        F.format_string("- Original: %d chars, %d words", "original_chars", "original_words"),
+        F.format_string("- Translated: %d chars, %d words", "translated_chars", "translated_words"),
+        F.format_string("- Issues: %d", "n_issues"),
+    )
+    keys = ["chapter_num", "original_file"]
+    heads = rows.where("rank = 1").select(*keys, F.posexplode(head).alias("c", "line"))
+    return heads.unionByName(rows.select(*keys, (F.col("rank") + 3).alias("c"), F.format_string("  - [%s] %s", "severity", "description").alias("line")))
+
+
+def verification_heading_lines(results: DataFrame) -> DataFrame:
+    """The totals and the headings of categories of the second report, as rows (part, a, line)."""
+    s = verification_summary(results)
+    lines = F.array(F.format_string("- ✅ 通过: %d", "pass"), F.format_string("- ❌ 失败: %d", "fail"), F.format_string("- ⚠️ 警告: %d", "warning"))
+    totals = s.select(F.lit(0).alias("part"), F.posexplode(lines).alias("a", "line"))
+    return totals.unionByName(results_by_category(results).select(F.lit(1).alias("part"), F.col("first_seen").alias("a"), F.concat(F.lit("### "), "category").alias("line")))
+
+
+def success_rates(results: DataFrame) -> DataFrame:
+    """Share of the items of each category that passed."""
+    return results.groupBy("category").agg(F.count("*").alias("n_items"), (F.count_if(F.col("status") == "PASS") / F.count("*")).alias("rate"))
+
+
+def counter_report_lines(counters: DataFrame) -> DataFrame:
+    """The counters of a run as lines of a report."""
+    named = F.array(*(F.struct(F.lit(k).alias("ord"), F.format_string(f"- {c}: %d", F.col(c)).alias("line")) for k, c in enumerate(counters.columns)))
+    return counters.select(F.inline(named))
+
+
+def structure_report_lines(summary: DataFrame) -> DataFrame:
+    """The table of both editions' structure, given structure_summary()."""
+    one = summary.agg(*(F.max(F.when(F.col("edition") == e, F.col(c))).alias(f"{e}_{c}") for e in ("original", "translated") for c in ("n_chapters", "n_images")))
+    row = lambda k, label, c: F.struct(F.lit(k).alias("ord"), F.format_string(f"| {label} | %d | %d | %s |", f"original_{c}", f"translated_{c}", F.when(F.col(f"original_{c}") == F.col(f"translated_{c}"), "✅").otherwise("❌")).alias("line"))
+    return one.select(F.inline(F.array(row(0, "章节数", "n_chapters"), row(1, "图片数", "n_images"))))
+
+
+def issue_report(issues: DataFrame, paired: DataFrame, generated: str) -> str:
+    """The whole issue report as one text; generated is its time stamp. Its lines are few: totals, ten issues a type, five a chapter."""
+    rows = issue_report_lines(issues, paired).orderBy("part", "a", "b", "c").collect()
+    out = ["# EPUB Quality Comparison Report", f"Generated: {generated}", "## Summary", *(r["line"] for r in rows if r["part"] == 1), "## Issues by Type", *(r["line"] for r in rows if r["part"] == 2), "## Chapter Details"]
+    out += [r["line"] for r in chapter_report_lines(issues, paired).orderBy("chapter_num", "original_file", "c").toLocalIterator()]
+    return "\n".join(out) + "\n"
+
+
+def verification_report(results: DataFrame, generated: str) -> str:
+    """The whole second report as one text."""
+    heads = verification_heading_lines(results).orderBy("part", "a").collect()
+    out = ["# EPUB 详细质量核对报告", f"生成时间: {generated}", "## 总结", *(r["line"] for r in heads if r["part"] == 0), "## 详细结果"]
+    lines = verification_report_lines(results).orderBy("check_ord", "file_name", "pos", "c").collect()  # of three sampled chapters and the mapping
+    for head in (r for r in heads if r["part"] == 1):
+        out += [head["line"], *(r["line"] for r in lines if r["check_ord"] == head["a"])]
+    return "\n".join(out) + "\n"

@@ -13,6 +13,7 @@ from .functions.lexicon import CATEGORIES, CONCEPTS, IDENTIFIERS, TERMS
 from .operators import chapters as C
 from .operators import checks as K
 from .operators import enhance as E
+from .operators import listening as H
 from .plans import reports as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +203,66 @@ inline("narrate_tables", "id int, body string", [(1, "| a | b |\n|---|---|\n| 1
 SELECT id, CAST(i - 2 AS INTEGER) AS row, array_to_string(list_transform(list_zip(x[1], x[i]), lambda z: z[1] || '：' || z[2]), '，') || '。' AS sentence FROM (SELECT id, x, unnest(range(3, len(x) + 1)) AS i FROM r)""")(E.narrate_tables)
 
 
+# code, keywords, notes and format of chapters: the input has bare code, marked items and headings beside what the chapters have
+_BARE = "replace(replace(content, 'Use String', 'Call CPool.GetServiceConnection(long id) or Map<String, Object> of MAX_SIZE.' || chr(10) || 'void run_all(){' || chr(10) || 'int a = 1;' || chr(10) || '}' || chr(10) || '* one' || chr(10) || '#Title' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || 'Use String'), '> note', chr(9) || '> note')"
+BARE = BASE + f",\nbare AS (SELECT file_name, {_BARE} AS content FROM original_chapters)"
+_HITS = lambda x: [(n, f"len(regexp_extract_all({x}, '{p}'))") for n, p in E.LANGUAGES]
+_BEST = lambda x: f"greatest({', '.join(c for _, c in _HITS(x))})"
+_LANGUAGE = lambda x: f"CASE WHEN {_BEST(x)} = 0 THEN 'text' " + " ".join(f"WHEN {c} = {_BEST(x)} THEN '{n}'" for n, c in _HITS(x)) + " END"
+_RUN = f"'(?m){H.CODE_RUN}'"
+FENCED = BARE + rf""",
+parts AS (SELECT file_name, string_split_regex(content, {_RUN}) AS ps, regexp_extract_all(content, {_RUN}) AS cs FROM bare),
+fenced AS (SELECT file_name, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(CASE WHEN starts_with(cs[i], '```') THEN cs[i] ELSE chr(10) || '```' || {_LANGUAGE("cs[i]")} || chr(10) || cs[i] || chr(10) || '```' END, '')), '') AS content,
+  CAST(len(list_filter(cs, lambda c: NOT starts_with(c, '```'))) AS BIGINT) AS code_blocks_wrapped FROM parts),
+marked AS (SELECT file_name, code_blocks_wrapped, content, regexp_replace(content, '{H.KEYWORD}', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') AS m FROM fenced),
+enhanced AS (SELECT file_name, code_blocks_wrapped, translate(replace(m, chr(1) || chr(2), ''), chr(1) || chr(2), '``') AS content, CAST(length(replace(m, chr(1) || chr(2), '')) - length(replace(replace(m, chr(1) || chr(2), ''), chr(1), '')) AS BIGINT) AS keywords_highlighted FROM marked)"""
+_STRIP = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+\\z', '', 'g')"
+_SENTENCES = lambda x: f"list_filter(list_transform(regexp_extract_all({x}, '[^。！？；.!?;]+[。！？；.!?;]*|[。！？；.!?;]+'), lambda y: {_STRIP('y')}), lambda y: y <> '')"
+_LONG = lambda x: f"flatten(list_transform(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {_STRIP('l')}), lambda l: l <> ''), lambda l: CASE WHEN length(l) <= 80 THEN [l] ELSE {_SENTENCES('l')} END))"
+_COUNTERS = f", counters AS (SELECT count(*) AS files, CAST(sum(code_blocks_wrapped) AS BIGINT) AS code_blocks_wrapped, CAST(sum(keywords_highlighted) AS BIGINT) AS keywords_highlighted, CAST(sum(len(regexp_extract_all(content, '!\\[.*?\\]\\(.*?\\)'))) AS BIGINT) AS images, CAST(sum(len({_LONG('content')})) AS BIGINT) AS lines_read FROM enhanced)"
+
+
+def bare(o: DataFrame) -> DataFrame:
+    return o.select("file_name", F.expr(_BARE).alias("content"))
+
+
+both("fence_code", "SELECT file_name, code_blocks_wrapped, md5(content) AS text_md5 FROM fenced", FENCED)(lambda o, t: bare(o).select("file_name", H.blocks_wrapped(F.col("content")).alias("code_blocks_wrapped"), F.md5(H.fence_code(F.col("content"))).alias("text_md5")))
+both("highlight_keywords", "SELECT file_name, code_blocks_wrapped, keywords_highlighted, md5(content) AS text_md5 FROM enhanced", FENCED)(lambda o, t: H.enhance_code(bare(o)).select("file_name", "code_blocks_wrapped", "keywords_highlighted", F.md5("content").alias("text_md5")))
+both("run_counters", _COUNTERS + " SELECT * FROM counters", FENCED)(lambda o, t: H.run_counters(bare(o)))
+both("processing_report_lines", _COUNTERS + " SELECT 0 AS ord, '- files: ' || files AS line FROM counters UNION ALL SELECT 1, '- code_blocks_wrapped: ' || code_blocks_wrapped FROM counters UNION ALL SELECT 2, '- keywords_highlighted: ' || keywords_highlighted FROM counters UNION ALL SELECT 3, '- images: ' || images FROM counters UNION ALL SELECT 4, '- lines_read: ' || lines_read FROM counters", FENCED)(lambda o, t: R.counter_report_lines(H.run_counters(bare(o))))
+both("clean_format", r""", a AS (SELECT file_name, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?m)[ \t]+$', '', 'g'), '(?m)^\t', '  ', 'g'), '(?m)^( *)[*+] ', '\1- ', 'g'), '(?m)^(#{1,6})([^#\s])', '\1 \2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), './images/', '../images/') AS x FROM bare)
+SELECT file_name, md5(CASE WHEN len(regexp_extract_all(x, '(?m)^```')) % 2 = 1 THEN x || chr(10) || '```' ELSE x END) AS text_md5 FROM a""", BARE)(lambda o, t: bare(o).select("file_name", F.md5(H.clean_format(F.col("content"))).alias("text_md5")))
+both("add_notes", r"""SELECT file_name, md5(regexp_replace(regexp_replace(content, '(```[^\n]*\n[\s\S]*?\n```)', '\1' || chr(10) || '> 【代码说明】', 'g'), '(?m)(^\|[^\n]*\|$(?:\n^\|[^\n]*\|$)+)', '\1' || chr(10) || '> 【表格说明】', 'g')) AS text_md5 FROM bare""", BARE)(lambda o, t: bare(o).select("file_name", F.md5(H.add_notes(F.col("content"))).alias("text_md5")))
+both("chapter_intro", f"SELECT file_name, '本章介绍：' || regexp_extract(content, '(?m)^#+ +([^\\n]*)$', 1) || '。本章小结：' || array_to_string(({_SENTENCES(chr(39).join(['regexp_replace(content, ', '(?m)^#+ [^\\n]*$', ', ', '', ', ', 'g', ')']))})[1:2], '') AS intro FROM original_chapters")(lambda o, t: o.select("file_name", H.chapter_intro(F.col("content")).alias("intro")))
+both("technical_terms", r""", doubled AS (SELECT file_name, content, regexp_replace(content, '([^\p{L}\p{N}_])', '\1\1', 'g') AS x FROM original_chapters)
+SELECT file_name, term FROM original_chapters, terms WHERE contains(content, term)
+UNION SELECT file_name, unnest(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_])([A-Z]{2,})(?:$|[^\p{L}\p{N}_])', 1)) FROM doubled
+UNION SELECT file_name, unnest(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])', 1)) FROM doubled
+UNION SELECT file_name, unnest(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_])([a-z][a-zA-Z0-9]*)\(', 1)) FROM doubled""")(lambda o, t: o.select("file_name", F.explode(H.technical_terms(F.col("content"))).alias("term")))
+both("distinct_terms", r""", doubled AS (SELECT regexp_replace(content, '([^\p{L}\p{N}_])', '\1\1', 'g') AS x, content FROM original_chapters), every AS (SELECT term FROM original_chapters, terms WHERE contains(content, term)
+UNION ALL SELECT unnest(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_])([A-Z]{2,})(?:$|[^\p{L}\p{N}_])', 1)) FROM doubled
+UNION ALL SELECT unnest(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])', 1)) FROM doubled
+UNION ALL SELECT unnest(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_])([a-z][a-zA-Z0-9]*)\(', 1)) FROM doubled) SELECT DISTINCT term FROM every""")(lambda o, t: o.select(F.explode(H.technical_terms(F.col("content"))).alias("term")).distinct())
+both("camel_names", r"SELECT DISTINCT file_name, term FROM (SELECT file_name, unnest(regexp_extract_all(regexp_replace(content, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])', 1)) AS term FROM original_chapters)")(lambda o, t: o.select("file_name", F.explode(F.array_distinct(X.every(F.col("content"), X.CAMEL))).alias("term")))
+_RATIO = rf"CAST(len(regexp_extract_all(content, '[\x{{4E00}}-\x{{9FFF}}]')) AS DOUBLE) / len(regexp_extract_all(content, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]'))"
+_DENSITY = r"CAST((SELECT count(*) FROM terms WHERE contains(content, term)) AS DOUBLE) / greatest(1, len(regexp_extract_all(content, '[^\t-\r\x1c-\x20\x{85}\p{Z}]+')))"
+both("route_chapters", f"SELECT *, CASE WHEN ratio >= 0.3 OR density > 0.15 THEN 'skip' WHEN density > 0.05 AND ratio < 0.15 THEN 'translate_protected' ELSE 'translate' END AS route FROM (SELECT file_name, {_RATIO} AS ratio, {_DENSITY} AS density FROM (SELECT file_name, content FROM translated_chapters UNION ALL SELECT file_name, content FROM original_chapters))")(lambda o, t: H.routed(t.select("file_name", "content").unionByName(o.select("file_name", "content"))))
+both("chapter_code_languages", f"SELECT language, count(*) AS n_blocks FROM (SELECT {_LANGUAGE('code')} AS language FROM (SELECT unnest(regexp_extract_all(content, '```[\\s\\S]*?```')) AS code FROM original_chapters)) GROUP BY language")(lambda o, t: H.code_languages(o))
+both("toc_depth", "SELECT CAST(max(n) AS BIGINT) AS depth, count(DISTINCT n) AS levels FROM (SELECT length(unnest(regexp_extract_all(content, '(?m)^(#{1,6}) ', 1))) AS n FROM bare)", BARE)(lambda o, t: H.toc_depth(bare(o)))
+both("toc_entries", r"SELECT file_name, CAST(len(regexp_extract_all(replace(content, '![fig', '[ch:fig'), '\[ch:')) AS BIGINT) AS n_entries FROM original_chapters")(lambda o, t: H.toc_entries(o.withColumn("content", F.replace("content", F.lit("![fig"), F.lit("[ch:fig")))))
+both("chapter_list_narration", r"SELECT file_name, CAST(i AS INTEGER) AS pos, '第' || i || '点：' || x[i] AS sentence FROM (SELECT file_name, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT file_name, regexp_extract_all(content, '(?m)^[-*] (.*)$', 1) AS x FROM bare))", BARE)(lambda o, t: bare(o).select("file_name", F.posexplode(E.list_items(F.col("content"))).alias("i", "x")).select("file_name", (F.col("i") + 1).alias("pos"), F.concat(F.lit("第"), (F.col("i") + 1).cast("string"), F.lit("点："), "x").alias("sentence")))
+both("chapter_report_lines", """, ranked AS (SELECT stats.*, n_issues, rank, severity, description FROM stats JOIN (SELECT *, row_number() OVER (PARTITION BY original_file ORDER BY check_ord, original) AS rank, count(*) OVER (PARTITION BY original_file) AS n_issues FROM issues) i ON i.original_file = stats.original_file AND rank <= 5)
+SELECT chapter_num, original_file, 0 AS c, '### Chapter ' || chapter_num || ': ' || chapter_title AS line FROM ranked WHERE rank = 1 UNION ALL SELECT chapter_num, original_file, 1, '- Original: ' || original_chars || ' chars, ' || original_words || ' words' FROM ranked WHERE rank = 1
+UNION ALL SELECT chapter_num, original_file, 2, '- Translated: ' || translated_chars || ' chars, ' || translated_words || ' words' FROM ranked WHERE rank = 1 UNION ALL SELECT chapter_num, original_file, 3, '- Issues: ' || n_issues FROM ranked WHERE rank = 1
+UNION ALL SELECT chapter_num, original_file, CAST(rank + 3 AS INTEGER), '  - [' || severity || '] ' || description FROM ranked""")(lambda o, t: R.chapter_report_lines(K.all_issues(P(o, t)), P(o, t)))
+both("verification_heading_lines", """, s AS (SELECT count(*) FILTER (status = 'PASS') AS p, count(*) FILTER (status = 'FAIL') AS f, count(*) FILTER (status = 'WARNING') AS w FROM r)
+SELECT 0 AS part, 0 AS a, '- ✅ 通过: ' || p AS line FROM s UNION ALL SELECT 0, 1, '- ❌ 失败: ' || f FROM s UNION ALL SELECT 0, 2, '- ⚠️ 警告: ' || w FROM s UNION ALL SELECT 1, min(check_ord), '### ' || category FROM r GROUP BY category""", RESULTS)(lambda o, t: R.verification_heading_lines(K.all_results(o, t)))
+both("success_rates", "SELECT category, count(*) AS n_items, CAST(count(*) FILTER (status = 'PASS') AS DOUBLE) / count(*) AS rate FROM c GROUP BY category", CHECKED)(lambda o, t: R.success_rates(K.chapter_mapping(o, t).unionByName(K.concept_check(P(o, t))).unionByName(K.identifier_check(P(o, t))).unionByName(K.html_code_check(P(o, t))).unionByName(K.code_block_pairs(P(o, t))).unionByName(K.image_alt_check(P(o, t)))))
+both("structure_report_lines", r""", n AS (SELECT (SELECT count(*) FROM o) AS oc, (SELECT count(*) FROM translated_chapters WHERE NOT starts_with(file_name, '00_') AND NOT contains(file_name, '_report')) AS tc, (SELECT sum(len(regexp_extract_all(content, '!\[.*?\]\(.*?\)'))) FROM o) AS oi, (SELECT sum(len(regexp_extract_all(content, '!\[.*?\]\(.*?\)'))) FROM translated_chapters WHERE NOT starts_with(file_name, '00_') AND NOT contains(file_name, '_report')) AS ti)
+SELECT 0 AS ord, '| 章节数 | ' || oc || ' | ' || tc || ' | ' || CASE WHEN oc = tc THEN '✅' ELSE '❌' END || ' |' AS line FROM n UNION ALL SELECT 1, '| 图片数 | ' || oi || ' | ' || ti || ' | ' || CASE WHEN oi = ti THEN '✅' ELSE '❌' END || ' |' FROM n""")(lambda o, t: R.structure_report_lines(E.structure_summary(o, t)))
+table("long_sentences", "documents", f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_LONG('text')} AS s FROM documents))")(lambda d: d.select("doc_id", F.posexplode(H.long_sentences(F.col("text"))).alias("pos", "line")))
+
+
 @table("sample_chapters", "documents", None)
 def sample_chapters(d: DataFrame) -> DataFrame:
     """A deterministic sample of five chapters, by hash."""

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as X
 
@@ -79,3 +80,81 @@ def write_epub(chapters: DataFrame, path: str, title: str, author: str, cover: b
         nav = "".join(f'<li><a href="c{k}.xhtml">{esc(n)}</a></li>' for k, n in enumerate(names, 1))
         z.writestr("OEBPS/nav.xhtml", f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{esc(title)}</title></head><body><nav epub:type="toc"><ol>{nav}</ol></nav></body></html>')
         z.writestr("OEBPS/content.opf", f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{esc(title)}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:creator>{esc(author)}</dc:creator><dc:language>zh</dc:language></metadata><manifest>{manifest}</manifest><spine>{spine}</spine></package>')
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """ord, kind, file_name, content of the books and chapters of a folder of mixed formats: Markdown files, and the spine of each EPUB, by name."""
+    chapters = read_chapters(spark, folder).select(F.lit("markdown").alias("kind"), "file_name", F.lit(0).alias("ord"), "content")
+    books = read_epub(spark, folder).select(F.lit("epub").alias("kind"), F.element_at(F.split("archive", "/"), -1).alias("file_name"), "ord", "content")
+    return chapters.unionByName(books).orderBy("file_name", "ord")
+
+
+def read_epub_images(spark: SparkSession, path: str) -> DataFrame:
+    """archive, name, size, data, width, height of the images of each book."""
+    entries = read_archives(spark, path).where(F.lower("name").rlike("[.](jpg|jpeg|png|gif|webp)$"))
+    return entries.select("archive", "name", "size", "data", image_size("data").alias("s")).select("archive", "name", "size", "data", "s.width", "s.height")
+
+
+def read_image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """name, size of the image files of a folder and all below it, by extension in lower case."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where(F.col("path").rlike("[.](jpg|png|gif|webp)$")).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+
+
+def epub_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """archive, title, author, publisher, chapters of each book."""
+    return read_epub(spark, path).groupBy("archive", "title", "author", "publisher").agg(F.count("*").alias("chapters"))
+
+
+def cover_or_package(entries: DataFrame, picked: DataFrame) -> DataFrame:
+    """The picked entries (see cover_pick) with the cover's bytes, or the first 2000 characters of the package where there is no cover."""
+    rows = picked.join(entries.select("archive", "ord", "data"), ["archive", "ord"])
+    text = F.substring(F.try_validate_utf8(F.col("data").cast("string")), 1, 2000)
+    return rows.select("archive", "ord", "name", "kind", F.when(F.col("kind") == "cover", F.col("data")).alias("cover"), F.when(F.col("kind") == "opf", text).alias("excerpt"))
+
+
+def _size(data: bytes | None) -> tuple[int | None, int | None]:
+    """Width and height from the header of a PNG, GIF, WebP or JPEG image."""
+    if not data:
+        return None, None
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:3] == b"GIF" and len(data) >= 10:
+        return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8X" and len(data) >= 30:
+        return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+    at = 2 if data[:2] == b"\xff\xd8" else len(data)
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        if data[at + 1] in range(0xC0, 0xD0) and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None, None
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def image_size(data: pd.Series) -> pd.DataFrame:
+    sizes = [_size(x) for x in data]
+    return pd.DataFrame({"width": pd.array([w for w, _ in sizes], "Int32"), "height": pd.array([h for _, h in sizes], "Int32")})
+
+
+def write_chapters(chapters: DataFrame, folder: str) -> None:
+    """One file for each chapter, by its name, written by the tasks; the folder must be one that all executors share."""
+
+    def write(rows: Iterator) -> None:
+        from pathlib import Path
+
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for row in rows:
+            with open(Path(folder) / posixpath.basename(row["file_name"]), "w", encoding="utf-8", newline="") as f:
+                f.write(row["content"])
+
+    chapters.select("file_name", "content").foreachPartition(write)
+
+
+def write_cover(picked: DataFrame, path: str) -> bool:
+    """The one cover of a book to a file; whether there was one."""
+    row = picked.where("cover is not null").select("cover").first()
+    if row is not None:
+        with open(path, "wb") as f:
+            f.write(row["cover"])
+    return row is not None
