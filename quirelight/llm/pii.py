@@ -75,7 +75,8 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     # distinct texts that hold something, each once with its number of documents; the text travels only for those
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", "base", "text", words.alias("ws"), "docs")
-    once = stage.written(spark, once, "protected")
+    # words are looked up text by text below: the work, not the bytes, asks for this many tasks
+    once = stage.written(spark, once.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cls"), "protected")
     each = once.select("cls", "docs", F.explode("es").alias("entity"))
     # entities held by the same texts count alike: they go by one name, made of sums over those texts
     texts = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
