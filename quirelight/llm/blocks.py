@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import stage
 
-#: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in a block, about; a longer text is a block of its own. A block sends a row to each bucket: where there are many buckets, blocks are larger, up to MOST_BYTES.
+BLOCK_BYTES, BUCKET_BYTES, MOST_BYTES = 2 << 20, 4 << 10, 32 << 20
 #: Texts in a block at most.
 BLOCK_TEXTS = 1 << 20
 
@@ -53,6 +53,7 @@ def text_classes(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
 
 def stage_blocks(spark: SparkSession, texts: DataFrame, name: str) -> DataFrame:
     """texts (id long, text string) packed into rows (block long, data binary) in the shared folder."""
+    most = min(MOST_BYTES, max(BLOCK_BYTES, BUCKET_BYTES * stage.buckets(spark)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -71,7 +72,7 @@ def stage_blocks(spark: SparkSession, texts: DataFrame, name: str) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_buffer().to_pybytes() if t.is_valid else b""
-                if held and (size + len(t) > BLOCK_BYTES or len(held) == BLOCK_TEXTS):
+                if held and (size + len(t) > most or len(held) == BLOCK_TEXTS):
                     yield flush()
                 ids.append(i)
                 held.append(t)

@@ -4,7 +4,8 @@ Within a label, equal vectors are collapsed (with their number). The others are
 each pair of tiles is one group. A unit vector x is coded as s q, q int8, s = max|x| / 127, and e = |x - s q| is kept.
 Then x y differs from s_x s_y (q_x q_y) by at most |s_x q_x| e_y + e_x |s_y q_y| + e_x e_y (Cauchy-Schwarz). The integer
 product is exact in floating point. Only pairs whose upper bound reaches the threshold are computed in full precision.
-A group returns sums of links and a spanning forest of its links, so a dense group of near copies returns few rows.
+A group returns sums of links and a spanning forest of its links, so a dense group of near copies returns few rows. A tile carries the vectors
+beside the codes: fetching them for surviving pairs only would mean all pairs of a dense group as rows.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components, or whose label is null, links with
 nothing and is its own component. Vectors of different length do not link. Rows without a vec_id take no part. Rows that repeat
@@ -48,12 +49,12 @@ def possible(a: tuple, b: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _tiles(threshold: float):
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
+        pdf = pdf.sort_values("key")
         x = np.array(pdf["v"].tolist(), np.float64)
         x /= np.abs(x).max(axis=1)[:, None]  # no overflow or underflow in the norm
         x /= np.linalg.norm(x, axis=1)[:, None]
         codes = quantised(x)
-        rep, mult, tile = pdf["rep"].to_numpy(), pdf["mult"].to_numpy(), pdf["tile"].to_numpy()
+        rep, mult, tile = pdf["key"].to_numpy(), pdf["mult"].to_numpy(), pdf["tile"].to_numpy()
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         a, b = possible(tuple(c[left] for c in codes), tuple(c[right] for c in codes), threshold)
@@ -86,19 +87,26 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFra
     """vec_id, n_links, component_id, kept of vectors (vec_id, embedding, label), linked at cosine >= threshold within a label."""
     spark = vectors.sparkSession
     stage.ship(spark)
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    # floats travel as floats: they are doubles only where they are multiplied
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
     fine = rows.where(F.col("label").isNotNull() & usable("v", zero=False))
     distinct = fine.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    # a vector's key is its own, whatever ids repeat; it is written with it
+    distinct = distinct.withColumn("key", F.monotonically_increasing_id())
     distinct = stage.written(spark, distinct, "vectors")
     count = distinct.groupBy("label", F.size("v").alias("d")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = distinct.withColumn("d", F.size("v")).join(count, ["label", "d"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    placed = distinct.withColumn("d", F.size("v")).join(count, ["label", "d"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "with")).withColumn("j", F.greatest("tile", "with"))
     found = dealt.groupBy("label", "d", "i", "j").applyInPandas(_tiles(threshold), "id long, links long, other long")
     found = stage.written(spark, found, "tile-links")
     total = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(spark, found.where("links = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    classes = distinct.join(total, F.col("rep") == total["id"], "left").drop("id").join(comps, F.col("rep") == comps["id"], "left")
-    classes = classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    named = comps.join(distinct.select(F.col("key").alias("id"), "rep"), "id").groupBy("component_id").agg(F.min("rep").alias("least"))
+    comps = comps.join(named, "component_id").select("id", "least")
+    classes = distinct.join(total, F.col("key") == total["id"], "left").drop("id").join(comps, F.col("key") == comps["id"], "left")
+    classes = classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     out = fine.join(classes, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~(F.col("label").isNotNull() & usable("v", zero=False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -314,3 +314,12 @@ def test_large_components_give_exact_ranks_or_an_error(spark):
     assert got == [(0, k, i, q[0] * int(1024 * v[0]) + q[1] * int(1024 * v[1])) for k, (i, v) in enumerate([rows[1], rows[2], rows[4], rows[3]], 1)]
     with pytest.raises(Exception, match="64 bits"):
         exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1e9])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_that_repeat_an_id_count_for_themselves(spark, kind):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [2.0, 0.0], 0), (3, [-0.0, 3.0], 0), (3, [0.0, 3.0], 0), (4, [1.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, True, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, kept boolean, tile string")
+    got = sorted(map(tuple, embedding_near_dedup(df).collect()))
+    assert [r[:2] for r in got] == [(1, 1), (1, 2), (2, 1), (3, 2), (3, 2), (4, 0)]
+    assert [r[2] for r in got] == [1, 1, 1, 1, 1, 4]
