@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,8 @@ def whole_ids(files: DataFrame) -> DataFrame:
 
 def editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(original, translated) chapters: doc_id, chapter_key, file_name, content."""
-    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").createOrReplaceTempView("_edition_documents")
-    text = CHAPTERS.replace("FROM documents", "FROM _edition_documents")
+    view = f"_edition_documents_{zlib.crc32(sf_dir.encode())}"  # tables of several folders do not replace each other
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").createOrReplaceTempView(view)
+    text = CHAPTERS.replace("FROM documents", f"FROM {view}")
     pick = "SELECT doc_id, chapter_key, file_name, content FROM "
     return whole_ids(spark.sql(text + pick + "original_chapters")), whole_ids(spark.sql(text + pick + "translated_chapters"))

@@ -74,8 +74,19 @@ def images(text: Column, pattern: str, alt: int, src: int) -> Column:
 
 
 def known(text: Column, terms: list[str]) -> Column:
-    """Terms that are substrings of text; one pass per term in generated code, no rows are multiplied."""
-    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms)))
+    """Terms that are substrings of text, as an array; no rows are multiplied.
+
+    A term of ASCII letters with a capital lies inside a word with a capital: it is looked for in those words only, each once.
+    """
+    capital = [t for t in terms if t.isascii() and t.isalpha() and not t.islower()]
+    other = [t for t in terms if t not in capital]
+    found = lambda where, some: F.array_compact(F.array(*(F.when(F.contains(where, F.lit(t)), F.lit(t)) for t in some)))
+    plain = found(text, other) if other else F.array().cast("array<string>")
+    if not capital:
+        return plain
+    words = F.array_join(F.array_distinct(every(text, "(?<![A-Za-z])[a-z]*+[A-Z][A-Za-z]*+")), " ")
+    # a lambda's argument is computed once
+    return F.concat(plain, F.get(F.transform(F.array(words), lambda w: found(w, capital)), F.lit(0)))
 
 
 def has_identifier(text: Column, name: str) -> Column:

@@ -14,38 +14,58 @@ from . import chapters as C
 S = F.lit
 
 
-def _issue(rows: DataFrame, check: int, kind: str, severity: str, location: str, description: Column, original: Column, translated: Column, suggestion: Column) -> DataFrame:
-    return rows.select(
-        F.expr("try_cast(key as bigint)").alias("chapter_num"), "original_file", S(check).alias("check_ord"), S(kind).alias("type"), S(severity).alias("severity"), S(location).alias("location"),
-        description.alias("description"), original.alias("original"), translated.alias("translated"), suggestion.alias("suggestion"),
-    )
+# Fixed values below: the wordings, kinds and severities of issues and results are part of what the audits return.
+ISSUE = ("check_ord", "type", "severity", "location", "description", "original", "translated", "suggestion")
 
 
-def missing_terms(paired: DataFrame) -> DataFrame:
-    """Dictionary terms in the original and not in the translation, as raw substrings. Every pattern hit that is a dictionary word is a substring too."""
+def _entry(check: int, kind: str, severity: str, location: str, description: Column, original: Column, translated: Column, suggestion: Column) -> Column:
+    values = (S(check), S(kind), S(severity), S(location), description, original, translated, suggestion)
+    return F.struct(*(v.alias(n) for v, n in zip(values, ISSUE)))
+
+
+def _issues(paired: DataFrame, found: Column) -> DataFrame:
+    """A row for each entry of an array. The outer form keeps the array from being computed twice, once to filter and once to unfold."""
+    rows = paired.select(F.expr("try_cast(key as bigint)").alias("chapter_num"), "original_file", F.inline_outer(found)).where("check_ord is not null")
+    return rows.select("chapter_num", "original_file", *ISSUE)
+
+
+def _lost_terms() -> Column:
     lost = F.filter(X.known(F.col("original"), TERMS), lambda t: ~F.contains(F.col("translated"), t))
-    rows = paired.select("key", "original_file", F.explode(lost).alias("term"))
-    t = F.col("term")
-    return _issue(rows, 1, "technical_term", "high", "content", F.format_string('Technical term "%s" not preserved in translation', t), t, S("[MISSING]"), F.format_string('Keep "%s" in English', t))
+    return F.transform(lost, lambda t: _entry(1, "technical_term", "high", "content", F.format_string('Technical term "%s" not preserved in translation', t), t, S("[MISSING]"), F.format_string('Keep "%s" in English', t)))
 
 
-def _counts(paired: DataFrame, check: int, severity: str, location: str, head: str, unit: str, suggestion: str, of: Column, tr: Column) -> DataFrame:
-    rows = paired.select("key", "original_file", of.alias("o"), tr.alias("t")).where("o <> t")
-    o, t = F.col("o"), F.col("t")
-    return _issue(rows, check, "formatting", severity, location, F.format_string(f"{head} count mismatch: %d original vs %d translated", o, t), F.format_string(f"%d {unit}", o), F.format_string(f"%d {unit}", t), S(suggestion))
+def _mismatch(check: int, severity: str, location: str, head: str, unit: str, suggestion: str, o: Column, t: Column) -> Column:
+    entry = _entry(check, "formatting", severity, location, F.format_string(f"{head} count mismatch: %d original vs %d translated", o, t), F.format_string(f"%d {unit}", o), F.format_string(f"%d {unit}", t), S(suggestion))
+    return F.when(o != t, F.array(entry)).otherwise(F.array().cast(EMPTY))
+
+
+EMPTY = "array<struct<check_ord: int, type: string, severity: string, location: string, description: string, original: string, translated: string, suggestion: string>>"
+
+
+def _code_mismatch() -> Column:
+    return _mismatch(2, "high", "code blocks", "Code block", "code blocks", "Ensure all code blocks are preserved", X.code_count(F.col("original")), X.code_count(F.col("translated")))
+
+
+def _image_mismatch() -> Column:
+    return _mismatch(3, "medium", "images", "Image", "images", "Ensure all images are preserved", X.count(F.col("original"), X.MD_IMAGE), X.count(F.col("translated"), X.MD_IMAGE))
+
+
+def missing_terms(paired: DataFrame) -> DataFrame:
+    """Dictionary terms in the original and not in the translation, as raw substrings. Every pattern hit that is a dictionary word is a substring too."""
+    return _issues(paired, _lost_terms())
 
 
 def code_block_counts(paired: DataFrame) -> DataFrame:
-    return _counts(paired, 2, "high", "code blocks", "Code block", "code blocks", "Ensure all code blocks are preserved", X.code_count(F.col("original")), X.code_count(F.col("translated")))
+    return _issues(paired, _code_mismatch())
 
 
 def image_counts(paired: DataFrame) -> DataFrame:
-    return _counts(paired, 3, "medium", "images", "Image", "images", "Ensure all images are preserved", X.count(F.col("original"), X.MD_IMAGE), X.count(F.col("translated"), X.MD_IMAGE))
+    return _issues(paired, _image_mismatch())
 
 
 def all_issues(paired: DataFrame) -> DataFrame:
-    """Issues of all pairs. Our order: chapter number, file, check, term."""
-    return missing_terms(paired).unionByName(code_block_counts(paired)).unionByName(image_counts(paired))
+    """Issues of all pairs, in one pass over them. Our order: chapter number, file, check, term."""
+    return _issues(paired, F.concat(_lost_terms(), _code_mismatch(), _image_mismatch()))
 
 
 def chapter_totals(original: DataFrame, translated: DataFrame) -> DataFrame:
@@ -57,8 +77,8 @@ def chapter_count_issue(original: DataFrame, translated: DataFrame) -> DataFrame
     """At most one row; not part of the issue totals."""
     rows = chapter_totals(original, translated).where("o <> t").select(S(None).cast("string").alias("key"), S(None).cast("string").alias("original_file"), "o", "t")
     o, t = F.col("o"), F.col("t")
-    out = _issue(rows, 0, "formatting", "high", "chapter structure", F.format_string("Chapter count mismatch: %d original vs %d translated", o, t), F.format_string("%d chapters", o), F.format_string("%d chapters", t), S("Ensure all chapters are translated"))
-    return out.drop("chapter_num", "original_file", "check_ord")
+    entry = _entry(0, "formatting", "high", "chapter structure", F.format_string("Chapter count mismatch: %d original vs %d translated", o, t), F.format_string("%d chapters", o), F.format_string("%d chapters", t), S("Ensure all chapters are translated"))
+    return _issues(rows, F.array(entry)).drop("chapter_num", "original_file", "check_ord")
 
 
 def _result(rows: DataFrame, file: Column, check: int, pos: Column, category: str, item: Column, status: Column, details: Column, original: Column, translated: Column) -> DataFrame:
@@ -83,7 +103,7 @@ def concept_check(paired: DataFrame) -> DataFrame:
     """Concepts of the original (any case): Chinese form, else English form (same case), else a warning."""
     table = F.array(*(F.struct(S(k).alias("ord"), S(e).alias("eng"), S(c).alias("chn")) for k, (e, c) in enumerate(CONCEPTS)))
     hit = F.filter(table, lambda x: F.contains(F.lower(F.col("original")), F.lower(x["eng"])))
-    rows = paired.select("original_file", "translated", F.explode(hit).alias("x")).select("original_file", "translated", "x.*")
+    rows = paired.select("original_file", "translated", F.explode_outer(hit).alias("x")).where("x is not null").select("original_file", "translated", "x.*")
     e, c, t = F.col("eng"), F.col("chn"), F.col("translated")
     is_c, is_e = F.contains(t, c), F.contains(t, e)
     kept = ~is_c & is_e
@@ -98,7 +118,7 @@ def concept_check(paired: DataFrame) -> DataFrame:
 def identifier_check(paired: DataFrame) -> DataFrame:
     """Identifiers of the original at word boundaries; a name listed twice gives two rows."""
     table = F.array(*(F.when(X.has_identifier(F.col("original"), n), F.struct(S(k).alias("ord"), S(n).alias("name"), X.has_identifier(F.col("translated"), n).alias("kept"))) for k, n in enumerate(IDENTIFIERS)))
-    rows = paired.select("original_file", F.explode(F.filter(table, lambda x: x.isNotNull())).alias("x")).select("original_file", "x.*")
+    rows = paired.select("original_file", F.explode_outer(F.array_compact(table)).alias("x")).where("x is not null").select("original_file", "x.*")
     n, kept = F.col("name"), F.col("kept")
     return _result(rows, F.col("original_file"), 2, F.col("ord"), "技术术语保留", F.concat(S("'"), n, S("' 类名/方法名")), F.when(kept, "PASS").otherwise("FAIL"), F.when(kept, "正确保留英文").otherwise("技术术语丢失"), n, F.when(kept, n).otherwise("[丢失]"))
 
