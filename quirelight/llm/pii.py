@@ -75,8 +75,7 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     # distinct texts that hold something, each once with its number of documents; the text travels only for those
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", "base", "text", words.alias("ws"), "docs")
-    # words are looked up text by text below: the work, not the bytes, asks for this many tasks
-    once = stage.written(spark, once.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cls"), "protected")
+    once = stage.written(spark, once, "protected")
     each = once.select("cls", "docs", F.explode("es").alias("entity"))
     # entities held by the same texts count alike: they go by one name, made of sums over those texts
     texts = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
@@ -101,7 +100,9 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     # the terms' places: words of the text in which base spans are covered up
     covered = f"regexp_replace(regexp_replace(old, '{COVERED}|[^\\\\p{{L}}]', ' '), '[^ ]', '{COVERED}')"
     hidden = F.expr(replaced("__held", "length(text)", "base", covered, clip=True))
-    places = once.withColumn("text", F.translate("text", COVERED, " ")).withColumn("__held", F.expr(blocks("text"))).select("cls", hidden.alias("hidden"))
+    # the work on a text, not its bytes, asks for this many tasks
+    dealt = once.select("cls", "text", "base").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cls")
+    places = dealt.withColumn("text", F.translate("text", COVERED, " ")).withColumn("__held", F.expr(blocks("text"))).select("cls", hidden.alias("hidden"))
     own = places.select("cls", F.explode(F.expr(spans("hidden", literal(WORD.replace(r"\p{L}", rf"[\p{{L}}{COVERED}]")), f"not contains(value, '{COVERED}')"))).alias("s")).select("cls", "s.start", "s.stop", F.lower("s.value").alias("term"))
     return own.join(lost.select("cls", "term", label.alias("label")), ["cls", "term"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "label"))).alias("added"))
 
