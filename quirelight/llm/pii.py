@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stage
+from .skew import spread_join
 from .spans import SPAN, blocks, literal, replaced, spans
 
 #: Equal to the contract's patterns: possessive, and tried only where a match can begin, so that long runs take linear time.
@@ -95,7 +96,10 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     lost = rows.select("cls", "entity", "term").join(pairs, ["entity", "term"]).groupBy("cls", "term").agg(F.max("share").alias("share"))
     stem = F.substring("term", 1, STEM).alias("stem")
     classes = counted.where("wide").select(stem).distinct().withColumn("wide", F.lit(True))
-    lost = lost.withColumn("stem", stem).join(classes, "stem", "left")
+    # many lost terms may share a stem
+    lost = stage.written(spark, lost.withColumn("stem", stem), "lost-terms")
+    known = lost.groupBy("stem").agg(F.count("*").alias("rows")).join(classes, "stem", "left")
+    lost = spread_join(lost, stage.written(spark, known, "stems"), "stem", "rows")
     label = F.when(F.col("share") >= REMOVE, "").when(F.col("wide"), F.concat(F.lit("["), "stem", F.lit("*]"))).otherwise("[TERM]")
     # the terms' places: words of the text in which base spans are covered up
     covered = f"regexp_replace(regexp_replace(old, '{COVERED}|[^\\\\p{{L}}]', ' '), '[^ ]', '{COVERED}')"
