@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_trie import ordered, prefix_trie, rebuilt
 from .embedding_dedup import embedding_near_dedup
 from .html_text import extract_text
 from .language_id import fit, fold_of, predict
@@ -176,6 +177,27 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGI
 FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
 """
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ordered(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(*rebuilt(turns, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6, family=100, most=5))
+
+
+_CRC32 = "xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS UBIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, conv_id - conv_id % 100 AS base, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM l),
+c AS (SELECT h.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE b.turns[1 : h.h] END, h.turns[h.h + 1 :]) AS path FROM h LEFT JOIN l b ON b.conv_id = h.base),
+o AS (SELECT conv_id, path[1 : d] AS p, d, len(path) = d AS ends FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM c)),
+n AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM o GROUP BY p),
+k AS (SELECT p[1 : depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+s AS (SELECT p[1 : a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN depth > 0 THEN (n_convs - 1) * length(p[depth].x) ELSE 0 END) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (p) LEFT JOIN n u ON f.depth > 0 AND u.p = f.p[1 : f.depth - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -187,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op12_conversation_trie": op12_conversation_trie,
     "pii_base": pii_base,
     "license_base": license_base,
 }
@@ -195,6 +218,7 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "op12_conversation_trie": OP12_SQL,
     "pii_base": PII_BASE_SQL,
     "license_base": LICENSE_BASE_SQL,
 }
