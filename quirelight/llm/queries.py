@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .conversation_trie import ordered, prefix_trie, rebuilt
 from .embedding_dedup import embedding_near_dedup
+from .hard_negatives import hard_negatives
 from .html_text import extract_text
 from .language_id import fit, fold_of, predict
 from .licenses import BASE, scan_licenses
@@ -177,6 +178,22 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGI
 FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
 """
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, k=5, take=5, least=80, most=100, scale=256)
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, c AS p, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5)
+SELECT p.a AS anchor_id, p.p AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.c) AS INTEGER) AS rank, s.c AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5
+"""
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = ordered(_table(spark, sf_dir, "conversations"))
     return prefix_trie(*rebuilt(turns, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6, family=100, most=5))
@@ -209,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_trie": op12_conversation_trie,
     "pii_base": pii_base,
     "license_base": license_base,
@@ -218,6 +236,7 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_conversation_trie": OP12_SQL,
     "pii_base": PII_BASE_SQL,
     "license_base": LICENSE_BASE_SQL,
