@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .conversation_trie import ordered, prefix_trie, rebuilt
 from .embedding_dedup import embedding_near_dedup
 from .hard_negatives import hard_negatives
@@ -215,6 +216,13 @@ FROM f JOIN s USING (p) LEFT JOIN n u ON f.depth > 0 AND u.p = f.p[1 : f.depth -
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id")) == 2)
+    labels = _table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 2)
+    machine = toxicity.fit(docs.where(~F.col("held_out")), labels)
+    return toxicity.score(docs, machine, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -228,6 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_toxicity": op13_toxicity,
     "pii_base": pii_base,
     "license_base": license_base,
 }
