@@ -42,7 +42,7 @@ PATTERNS = [(0, *p) for p in combinations(range(1, SPAN), LETTERS - 1)]
 #: Letters of a word that are compared at once; single letters in a row that make a word; words of a sentence.
 LONGEST, ROW, SENTENCE = 32, 3, 32
 #: Documents of each label, and code points of each, that are learned from at most.
-SAMPLE, SAMPLE_CHARS = 3000, 16384
+SAMPLE, SAMPLE_CHARS = 1500, 8192
 #: Words that may be landmarks, landmarks kept of them, clean landmarks; what a word's G statistic must reach, and words kept whatever theirs.
 WORDS, LANDMARKS, CLEAN, SIGNIFICANT, LEAST = 1000, 128, 32, 20.0, 16
 ROUNDS, COST = 4, 1.0
