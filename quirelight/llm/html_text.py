@@ -154,26 +154,32 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 line.append(text if k == 0 else NOTHING)
         below.update(more)
         grid.append(line)
-    width: list[int] = []
+    width = [0] * max([0, *map(len, grid)])
     for line in grid:
         for k, cell in enumerate(line):
-            if k == len(width):
-                width.append(0)
-            for x in cell:
-                if width[k] < len(x) <= WIDE:
-                    width[k] = len(x)
+            if cell:
+                width[k] = max(width[k], max((n for n in map(len, cell) if n <= WIDE), default=0))
     out: list[str] = []
     for line in grid:
-        high = max([0, *map(len, line)])
-        own = sum(len(x) + 1 for cell in line for x in cell)
+        # below the other cells' lines, only the tallest cell has text
+        tall = max(range(len(line)), key=lambda k: len(line[k]), default=0)
+        low = max([0, *(len(cell) for k, cell in enumerate(line) if k != tall)])
+        high = len(line[tall]) if line else 0
+        own = sum(sum(map(len, cell)) + len(cell) for cell in line if cell)
         if high * (sum(width[: len(line)]) + 3 * len(line)) > 4096 + 16 * own:
             for cell in line:
                 out.extend(cell)
         elif len(line) == 1:
             out.extend(line[0])
         else:
-            for i in range(high):
+            for i in range(low):
                 out.append(" | ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(line)).rstrip())
+            before = "".join(" " * w + " | " for w in width[:tall])
+            after = "".join(" | " + " " * w for w in width[tall + 1 : len(line)]).rstrip()
+            if after:
+                out.extend([before + x.ljust(width[tall]) + after for x in line[tall][low:]])
+            else:
+                out.extend([(before + x).rstrip() for x in line[tall][low:]])
     return out
 
 

@@ -105,11 +105,17 @@ HARD = [
 
 
 @pytest.mark.parametrize("unit, tail", HARD)
-def test_a_megabyte_of_hard_markup_takes_little_time(unit, tail):
-    page = unit * ((1 << 20) // len(unit)) + tail
-    start = time.process_time()
-    text = visible_text(page)
-    assert time.process_time() - start < 6 and len(text) < 16 << 20
+def test_time_and_text_grow_with_the_page(unit, tail):
+    def took(size):
+        page = unit * (size // len(unit)) + tail
+        start = time.process_time()
+        text = visible_text(page)
+        return time.process_time() - start, len(text)
+
+    took(1 << 16)
+    (small, _), (large, length) = min(took(1 << 18), took(1 << 18)), took(1 << 20)
+    # four times the page: four times the time in proportion, sixteen times in squares
+    assert large < 10 * max(small, 0.05) and length < 16 << 20
 
 
 def test_wide_cells_do_not_widen_others_and_lose_nothing():
