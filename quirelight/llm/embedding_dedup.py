@@ -24,6 +24,8 @@ from .components import components, forest
 from .vectors import usable
 
 TILE = 1024
+#: Labels and lengths whose numbers of tiles are broadcast.
+LABELS = 100_000
 #: Pairs computed in full precision at once.
 PAIRS = 1 << 16
 #: More than the rounding of the bounds' own arithmetic.
@@ -97,6 +99,8 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFra
     distinct = distinct.withColumn("key", F.monotonically_increasing_id())
     distinct = stage.written(spark, distinct, "vectors")
     count = distinct.groupBy("label", F.size("v").alias("d")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    count = stage.written(spark, count, "tiles")  # one row a label and length
+    count = F.broadcast(count) if count.count() < LABELS else count
     placed = distinct.withColumn("d", F.size("v")).join(count, ["label", "d"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "with")).withColumn("j", F.greatest("tile", "with"))
     found = dealt.groupBy("label", "d", "i", "j").applyInPandas(_tiles(threshold), "id long, links long, other long")

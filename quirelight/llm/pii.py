@@ -2,16 +2,18 @@
 
 Base spans are the leftmost non-overlapping matches of each kind. Their values are the protected entities. A term (a word of
 TERM letters or more, folded) is held against the corpus: with N documents, of which df(t) hold the term, df(e) the entity and
-c(t, e) both, the entity's information is IC(e) = -log2(df(e) / N) and the term gives away PMI(t, e) = log2(c N / (df(t) df(e)))
-bits of it. In texts that hold the entity, terms that disclose GENERALISE of its bits or more are generalised, those that disclose
-REMOVE or more are removed. Every entity and every pair is estimated, also those of a single text or of a group of copies: a word that
-occurs nowhere else in the corpus points to the entity as the entity itself does. Counts are over all documents.
-
-A term is generalised to the class of words with its first STEM letters, written [abc*], if one of them is in so many documents that the
-class discloses less than GENERALISE of any entity (c is at most df(e)); else to the class of all terms, [TERM].
-
-As c is at most df(e), a share of GENERALISE needs df(t) <= N^(1 - GENERALISE) df(e)^GENERALISE: only such terms are paired, and none is lost
-by it. Entities that are held by the same texts have equal counts and are paired once. The frequent entity is no hot key: pairs are
+c(t, e) both, the entity's information is IC(e) = -log2(df(e) / N), and who reads the term knows the entity with probability P(e | t), so the term gives
+away PMI(t, e) = IC(e) + log2 P(e | t) bits of it. P(e | t) is estimated by the lower end of Wilson's interval (Z standard errors) around c / df, so
+that few co-occurrences prove little: a word seen once beside an entity, as most rare words are, has at most 0.21. What speaks for the pair besides counts
+for documents that hold both: PART of them if the term is a run of letters of the entity's own value (a name in an e-mail address), BESIDE if it is
+capitalised and within NEAR letters of the entity. In texts that hold the entity, terms with P(e | t) of CERTAIN or more that give away GENERALISE of its bits are
+generalised, those that give away REMOVE are removed. Every entity is estimated; counts are over all documents, copies included.
+
+A term is generalised to the class of words with its first STEM letters, written [abc*], if one of them is in too many documents to
+disclose any entity; else to the class of all terms, [TERM].
+
+As c is at most df(e), P(e | t) >= CERTAIN needs df(t) <= 2 df(e) + PART, and df(e) with the evidence must be FEWEST or more: only such pairs are
+made, and none is lost by it. Entities that are held by the same texts have equal counts and are paired once. The frequent entity is no hot key: pairs are
 aggregated before the shuffle.
 
 Defined results: null text is empty: no spans. Rows without doc_id are scanned too. Repeated rows each get their spans. Added spans never
@@ -44,6 +46,10 @@ KINDS = [
 #: Only runs of 13 digits or more can be cards.
 CARD_AHEAD = r"[0-9](?:[\x20-]?[0-9]){12}"
 TERM, GENERALISE, REMOVE, STEM = 4, 0.9, 0.97, 3
+#: Of the estimate: standard errors, least probability, and what evidence counts for, in documents; letters that are beside an entity.
+Z, CERTAIN, PART, BESIDE, NEAR = 1.96, 0.5, 8, 2, 40
+#: Documents (with evidence) that hold both below which no lower bound reaches CERTAIN: n / (n + Z^2) < CERTAIN.
+FEWEST = 4
 #: Stands for the letters of base spans where words are looked for: a word that reaches into one is no term.
 COVERED = "\ue000"
 WORD = rf"\p{{L}}{{{TERM},}}+"
@@ -69,6 +75,12 @@ def _base() -> str:
     return "concat(" + ", ".join(f"transform(__pii_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'stop', s.stop, 'label', '[{k.upper()}]'))" for k, *_ in KINDS) + ")"
 
 
+def likely(c: str, df: str) -> str:
+    """SQL for the lower end of Wilson's interval of c of df (both doubles)."""
+    p, zz = f"({c} / {df})", Z * Z
+    return f"(({p} + {zz / 2} / {df} - {Z} * sqrt({p} * (1 - {p}) / {df} + {zz / 4} / ({df} * {df}))) / (1 + {zz} / {df}))"
+
+
 def disclosing_terms(found: DataFrame) -> DataFrame:
     """Of base_spans(): rows (cls, added) of texts whose MD5 is cls; added holds the places (start, stop, label) of the terms that disclose an entity of the text."""
     spark = found.sparkSession
@@ -81,18 +93,30 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     # entities held by the same texts count alike: they go by one name, made of sums over those texts
     texts = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
     entity = each.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.concat_ws(":", F.count("*"), *texts).alias("same"))
-    holds = stage.written(spark, each.join(entity, "entity").select("cls", "docs", F.col("same").alias("entity"), "n_e").distinct(), "holds")
+    entity = stage.written(spark, entity, "entities")
+    named = each.join(entity, "entity").select("cls", "docs", F.col("same").alias("entity"), "n_e").distinct()
+    holds = stage.written(spark, named, "holds")
+    # what speaks for a term beside the counts, by entity
+    part = entity.select(F.col("same").alias("entity"), F.explode(F.regexp_extract_all("entity", F.lit(rf"(?<=:|\P{{L}}){WORD}"), F.lit(0))).alias("term"), F.lit(PART).alias("speaks"))
+    around = f"transform(base, s -> named_struct('entity', concat(s.kind, ':', lower(substring(text, cast(s.start + 1 as int), cast(s.stop - s.start as int)))), 'near', concat(substring(text, cast(greatest(s.start - {NEAR}, 0) + 1 as int), cast(s.start - greatest(s.start - {NEAR}, 0) as int)), ' ', substring(text, cast(s.stop + 1 as int), {NEAR}))))"
+    beside = once.where(F.size("base") > 0).select(F.explode(F.expr(around)).alias("a")).select("a.entity", F.explode(F.regexp_extract_all("a.near", F.lit(rf"\p{{Lu}}\p{{L}}{{{TERM - 1},}}+"), F.lit(0))).alias("term")).select("entity", F.lower("term").alias("term")).distinct()
+    beside = beside.join(entity.select("entity", "same"), "entity").select(F.col("same").alias("entity"), "term", F.lit(BESIDE).alias("speaks"))
+    speaks = stage.written(spark, part.unionByName(beside).groupBy("entity", "term").agg(F.max("speaks").alias("speaks")), "evidence")
     size = found.agg(F.count("*").alias("n")).crossJoin(holds.agg(F.max("n_e").alias("top")))
     # frequency of all terms over all documents, added up before the shuffle; a term too frequent for every entity is wide
-    bound = "pow(n, {0}) * pow({2}, {1}) * (1 + 1e-9)"
     corpus = found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    counted = corpus.crossJoin(F.broadcast(size)).withColumn("wide", F.expr(f"df > {bound.format(1 - GENERALISE, GENERALISE, 'top')}")).drop("top")
+    counted = corpus.crossJoin(F.broadcast(size)).withColumn("wide", F.expr(f"df > 2 * top + {PART}")).drop("top")
     counted = stage.written(spark, counted, "counted")
     asked = once.select("cls", F.explode("ws").alias("term")).join(counted.where("not wide").drop("wide"), "term")
-    rows = asked.join(holds, "cls").where("n_e < n").where(f"df <= {bound.format(1 - GENERALISE, GENERALISE, 'n_e')}")
+    asked = stage.written(spark, asked, "asked")
+    # entities of many documents are paired with all terms of their texts, others only with those that something speaks for
+    often = asked.join(holds.where(F.col("n_e") >= FEWEST), "cls").where(f"n_e < n and df <= 2 * n_e + {PART}").join(speaks, ["entity", "term"], "left")
+    rare = asked.join(holds.where(F.col("n_e") < FEWEST).join(speaks, "entity"), ["cls", "term"]).where(f"n_e < n and df <= 2 * n_e + {PART}")
+    rows = often.withColumn("speaks", F.coalesce("speaks", F.lit(0))).unionByName(rare)
     rows = stage.written(spark, rows, "pairs")
-    share = F.expr("log2(c * n / (df * n_e)) / -log2(n_e / n)")
-    pairs = rows.groupBy("entity", "term", "df", "n_e", "n").agg(F.sum("docs").alias("c")).select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    counts = rows.groupBy("entity", "term", "df", "n_e", "n", "speaks").agg(F.sum("docs").alias("c"))
+    counts = counts.withColumn("p", F.expr(likely("cast(c + speaks as double)", "cast(df + speaks as double)"))).where(F.col("p") >= CERTAIN)
+    pairs = counts.select("entity", "term", F.expr("1 + log2(p) / -log2(n_e / n)").alias("share")).where(F.col("share") >= GENERALISE)
     lost = rows.select("cls", "entity", "term").join(pairs, ["entity", "term"]).groupBy("cls", "term").agg(F.max("share").alias("share"))
     stem = F.substring("term", 1, STEM).alias("stem")
     classes = counted.where("wide").select(stem).distinct().withColumn("wide", F.lit(True))

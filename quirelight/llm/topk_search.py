@@ -9,23 +9,25 @@ The result is exact whenever it stops.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without a vec_id.
 Only vectors of a query's length are its candidates. Ties go to the smaller vec_id. Repeated vec_ids are candidates each for itself. Other
-columns are ignored. Components so large that a score may not fit 64 bits raise an error (OverflowError in the task), as no rank would be right.
+columns are ignored. A score among the best that does not fit 64 bits raises OverflowError; all others are exact, whatever the components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stage
 from .vectors import usable
 
-#: Vectors in an index block, queries that are held against it in one task, about, and quantised impacts of a list.
-BLOCK, QUERIES, LEVELS = 4096, 1024, 64
-#: Tasks of a search at most; more groups share them.
-MOST = 20_000
+#: Vectors in an index block, about, and quantised impacts of a list.
+BLOCK, LEVELS = 4096, 64
+#: Tasks of a search at most; more blocks share them. Lengths of vectors whose sizes are broadcast.
+MOST, KINDS = 20_000, 100_000
 #: Shares of a block's postings after which bounds are compared; a share of 1 / RESCORED of its vectors is cheaper scored than bounded.
 STOPS, RESCORED = (0.5, 0.85, 0.96, 1.0), 16
 
@@ -102,25 +104,47 @@ class ImpactIndex:
         return np.flatnonzero(left)
 
 
+def _scores(index: ImpactIndex, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact integer inner products; Python's integers where 64 bits may not hold a sum on its way."""
+    if index.most * float(np.abs(q.astype(float)).max()) * len(q) < 2.0**63:
+        return index.v[rows] @ q
+    return np.array([sum(a * b for a, b in zip(x, q.tolist())) for x in index.v[rows].tolist()], object)
+
+
 def _search(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        query = pdf["query"].to_numpy()
-        rows, asked = pdf[~query].sort_values("vec_id"), pdf[query]
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
-        ids = rows["vec_id"].to_numpy()
-        index = ImpactIndex(np.array(rows["v"].tolist(), np.int64))
-        out = []
-        for qid, q in zip(asked["vec_id"].tolist(), asked["v"]):
-            q = np.asarray(q, np.int64)
-            if index.most * float(np.abs(q.astype(float)).max()) * len(q) >= 2.0**63:
-                raise OverflowError(f"a score of vec_id {qid} may not fit 64 bits")
-            own = np.arange(*np.searchsorted(ids, [qid, qid + 1]))
-            some = index.search(q, k, own)
-            score = index.v[some] @ q
-            best = np.lexsort((ids[some], -score))[:k]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[some[best]], "score": score[best]}))
-        return pd.concat(out).astype(np.int64)
+    """Searches of a stream in which the vectors of a block go before the queries asked of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, ids = None, [], None, None
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                own = part.column(3).to_numpy()
+                v = part.column(4).flatten().to_numpy().reshape(b - a, -1)
+                if tuple(place[:2, a]) != at:
+                    at, held, index, ids = tuple(place[:2, a]), [], None, None
+                if not place[2, a]:
+                    held.append((own, v))
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    ids, rows = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(ids, kind="stable")
+                    ids, index, held = ids[order], ImpactIndex(rows[order]), []
+                for qid, q in zip(own.tolist(), v):
+                    some = index.search(q, k, np.arange(*np.searchsorted(ids, [qid, qid + 1])))
+                    score = _scores(index, some, q)
+                    best = np.lexsort((ids[some], -score))[:k] if score.dtype != object else np.array(sorted(range(len(some)), key=lambda i: (-score[i], ids[some[i]]))[:k], int)
+                    # a score that does not fit 64 bits is an OverflowError here
+                    out.append((np.full(len(best), qid), ids[some[best]], np.array([int(x) for x in score[best]], np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -131,16 +155,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     stage.ship(spark)
     rows = vectors.where("vec_id is not null").where(usable("embedding", zero=True))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    rows = stage.written(spark, rows.withColumn("d", F.size("v")), "index")
-    sizes = rows.groupBy("d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.greatest(F.count_if("query"), F.lit(1)) / QUERIES).cast("int").alias("nq"))
-    placed = rows.join(sizes, "d")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = placed.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")).withColumn("g", every("nq")).withColumn("query", F.lit(False))
-    asked = placed.where("query").withColumn("g", F.pmod(F.xxhash64("vec_id"), F.col("nq")).cast("int")).withColumn("b", every("nb"))
-    cols = ["d", "b", "g", "vec_id", "v", "query"]
-    groups = sizes.agg(F.sum(F.col("nb").cast("long") * F.col("nq"))).first()[0] or 1
-    # bytes say nothing of the work here, so partitions are counted by groups and not left to be coalesced
-    both = index.select(cols).unionByName(asked.select(cols)).repartition(min(MOST, 2 * groups), "d", "b", "g")
-    found = both.groupBy("d", "b", "g").applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    rows = stage.written(spark, rows.withColumn("d", F.size("v")).withColumn("key", F.monotonically_increasing_id()), "index")
+    # one row a length of vectors
+    sizes = stage.written(spark, rows.groupBy("d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "sizes")
+    blocks, kinds = sizes.agg(F.sum(F.col("nb").cast("long")), F.count("*")).first()
+    placed = rows.join(F.broadcast(sizes) if kinds < KINDS else sizes, "d")
+    index = placed.withColumn("b", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")).withColumn("query", F.lit(False))
+    asked = placed.where("query").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cols = ["d", "b", "query", "vec_id", "v"]
+    # a block is moved and indexed once, and all queries stream past it; bytes say nothing of the work, so partitions are counted by blocks
+    both = index.select(cols).unionByName(asked.select(cols)).repartition(min(MOST, 2 * (blocks or 1)), "d", "b").sortWithinPartitions("d", "b", "query")
+    found = both.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -97,11 +97,33 @@ def personal_data(rows, places=None):
         for e in entities[t]:
             n_e[e] += k
             n_p.update({(e, w): k for w in words[t]})
+    speaks = Counter()
+    for t in docs:
+        for k, m in base(t):
+            e = f"{k}:{m[0].lower()}"
+            near = t[max(0, m.start() - pii.NEAR) : m.start()] + " " + t[m.end() : m.end() + pii.NEAR]
+            for w in regex.findall(rf"\p{{Lu}}\p{{L}}{{{pii.TERM - 1},}}+", near):
+                speaks[e, w.lower()] = max(speaks[e, w.lower()], pii.BESIDE)
+            for w in regex.findall(pii.WORD, e.split(":", 1)[1]):
+                speaks[e, w] = pii.PART
+    # entities of the same texts share what speaks for their terms
+    where = defaultdict(set)
+    for t in docs:
+        for e in entities[t]:
+            where[e].add(t)
+    shared = Counter()
+    for (e, w), k in speaks.items():
+        shared[frozenset(where[e]), w] = max(shared[frozenset(where[e]), w], k)
     share = {}
     for (e, w), c in n_p.items():
         if n_e[e] < n:
-            share[e, w] = math.log2(c * n / (df[w] * n_e[e])) / -math.log2(n_e[e] / n)
-    bound = n ** (1 - pii.GENERALISE) * max(n_e.values(), default=0) ** pii.GENERALISE * (1 + 1e-9)
+            more = shared[frozenset(where[e]), w]
+            m, zz = df[w] + more, pii.Z**2
+            p = (c + more) / m
+            low = (p + zz / 2 / m - pii.Z * math.sqrt(p * (1 - p) / m + zz / 4 / m**2)) / (1 + zz / m)
+            if low >= pii.CERTAIN:
+                share[e, w] = 1 + math.log2(low) / -math.log2(n_e[e] / n)
+    bound = 2 * max(n_e.values(), default=0) + pii.PART
     wide = {w[: pii.STEM] for w, k in df.items() if k > bound}
 
     def label(w, lost):
