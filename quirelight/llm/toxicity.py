@@ -348,7 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.length("text") > chars).alias("long"), F.substring("text", 1, chars).alias("text"))
     rows = texts.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(F.struct("long", "text"), F.struct("long", F.xxhash64("text"), "text")).alias("t"))
     rows = stage.written(spark, rows.select("doc_id", "toxic", "t.long", "t.text"), "labelled")
-    taken = [r for k in (0, 1) for r in rows.where(F.col("toxic") == k).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    # ids first, in executors: a limit that is collected at once would bring each task's own first rows to the driver
+    first = [rows.where(F.col("toxic") == k).select("doc_id", "long").orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id") for k in (0, 1)]
+    chosen = stage.written(spark, first[0].unionByName(first[1]), "sample")
+    taken = rows.join(F.broadcast(chosen), "doc_id").select("toxic", "text").collect()  # at most sample a label
+    taken.sort(key=lambda r: (r["toxic"], r["text"]))
     return train([r["text"] for r in taken], np.array([r["toxic"] for r in taken], int))
 
 
