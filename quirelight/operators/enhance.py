@@ -90,7 +90,7 @@ def narrate_tables(rows: DataFrame) -> DataFrame:
     """A sentence "header：cell，…。" for each row below the rule of a Markdown table."""
     cells = F.transform(X.every(F.col("body"), r"(?dm)^\|(.*)\|$", 1), lambda y: F.transform(F.split(y, r"\|"), lambda z: F.trim(z)))
     found = rows.select("id", cells.alias("x")).where(F.size("x") > 2)
-    found = found.select("id", F.col("x")[0].alias("head"), F.posexplode(F.slice("x", 3, 1_000_000)).alias("i", "row_cells"))
+    found = found.select("id", F.col("x")[0].alias("head"), F.posexplode(F.slice("x", 3, F.greatest(F.size("x") - 2, L(0)))).alias("i", "row_cells"))
     said = F.transform(F.arrays_zip(F.col("head").alias("h"), F.col("row_cells").alias("c")), lambda z: F.concat(z["h"], L("："), z["c"]))
     return found.select("id", (F.col("i") + 1).alias("row"), F.concat(F.array_join(said, "，"), L("。")).alias("sentence"))
 
@@ -149,10 +149,21 @@ def cover_decision() -> Column:
     return F.when(F.col("user_cover") != "", "user").when((F.col("original_cover") != "") & (F.col("accepted") == 1), "original").when(F.col("has_api_key") == 1, "ai").otherwise("programmatic")
 
 
+def chinese_number(n: Column) -> Column:
+    """1 to 99 in words, other numbers in digits."""
+    digit = lambda k: F.get(F.array(*map(L, ["", *"一二三四五六七八九"])), k)
+    tens, ones = F.floor(n / 10).cast("int"), (n % 10).cast("int")
+    return F.when(n.between(1, 99), F.concat(F.when(tens == 0, "").when(tens == 1, "十").otherwise(F.concat(digit(tens), L("十"))), digit(ones))).otherwise(n.cast("string"))
+
+
 def image_description() -> Column:
-    ordinals = F.array(*map(L, "一二三四五六七"))
-    points = F.transform(F.split("points", ";"), lambda x, i: F.concat(L("第"), F.element_at(ordinals, i + 1), L("，"), x))
-    return F.concat(L("> 【图片描述】\n> 图表类型："), "kind", L("\n> 结论："), "conclusion", L("\n> 要素："), "elements", L("\n> 要点："), F.array_join(points, "；"))
+    """The description of an image as a note of as many lines as it has points, from kind, conclusion, elements and points (semicolons between).
+
+    Fixed wording: readers of the note look for it. Points that are blank are left out.
+    """
+    points = F.filter(F.transform(F.split("points", ";"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.transform(points, lambda x, i: F.concat(L("\n> - 第"), chinese_number(i + 1), L("，"), x))
+    return F.concat(L("> **图片说明**：This is a "), "kind", L(".\n> 核心结论是："), "conclusion", L("\n> 关键元素包括："), "elements", L("\n> 要点总结："), F.array_join(lines, ""))
 
 
 #: Language and the words that speak for it; the most hits win, ties go to the first (our decision).
@@ -166,12 +177,10 @@ LANGUAGES = [
 
 
 def detect_language(code: Column) -> Column:
-    counts = [(name, X.count(code, p)) for name, p in LANGUAGES]
-    best = F.greatest(*(c for _, c in counts))
-    out = F.when(best == 0, "text")
-    for name, c in counts:
-        out = out.when(c == best, name)
-    return out
+    """The hits of each language are counted once: the largest count with the first name is taken from one array."""
+    counts = F.array(*(F.struct(X.count(code, p).alias("n"), L(-k).alias("first"), L(name).alias("name")) for k, (name, p) in enumerate(LANGUAGES)))
+    # a lambda's argument is computed once
+    return F.get(F.transform(F.array(F.array_max(counts)), lambda best: F.when(best["n"] == 0, "text").otherwise(best["name"])), L(0))
 
 
 LANGUAGE_SQL = (

@@ -49,18 +49,19 @@ def title_of(kind: Column) -> Column:
 
 def issue_report_lines(issues: DataFrame, paired: DataFrame) -> DataFrame:
     """The Markdown report as rows (part, a, b, c, line), to be joined in that order; without the time stamp."""
-    s = issue_summary(issues, paired)
-    part = lambda df, k, a, b, c, line: df.select(F.lit(k).alias("part"), a.cast("string").alias("a"), b.cast("int").alias("b"), F.lit(c).alias("c"), line.alias("line"))
-    zero = F.lit(0)
+    severities = ("high", "medium", "low")
+    # totals of each type and of all in one pass; the row of all types has no type
+    counts = issues.rollup("type").agg(F.grouping("type").alias("every"), F.count("*").alias("n"), *(F.count_if(F.col("severity") == x).alias(x) for x in severities))
+    compared = paired.agg(F.count("*").alias("chapters_compared"))
+    row = lambda part, a, b, c, line: F.struct(F.lit(part).alias("part"), a.cast("string").alias("a"), F.lit(b).cast("int").alias("b"), F.lit(c).alias("c"), line.alias("line"))
     none = F.lit("")
-    out = part(s, 1, none, zero, 0, F.format_string("- Chapters compared: %d", F.col("chapters_compared")))
-    for k, (label, col) in enumerate((("- Total issues found", "total_issues"), ("  - High severity", "high"), ("  - Medium severity", "medium"), ("  - Low severity", "low")), 1):
-        out = out.unionByName(part(s, 1, none, zero, k, F.format_string(f"{label}: %d", F.col(col))))
-    kinds = issues.groupBy("type").agg(F.count("*").alias("n"))
-    out = out.unionByName(part(kinds, 2, F.col("type"), zero, 0, F.format_string("### %s Issues (%d)", title_of(F.col("type")), F.col("n"))))
-    top = _first(issues, ["type"], 10)
-    out = out.unionByName(part(top, 2, F.col("type"), F.col("rank"), 0, F.format_string("- **[%s]** %s", F.upper("severity"), F.col("description"))))
-    return out.unionByName(part(top.where("suggestion is not null"), 2, F.col("type"), F.col("rank"), 1, F.format_string("  - Suggestion: %s", F.col("suggestion"))))
+    total = [("- Chapters compared: %d", "chapters_compared"), ("- Total issues found: %d", "n"), ("  - High severity: %d", "high"), ("  - Medium severity: %d", "medium"), ("  - Low severity: %d", "low")]
+    heads = F.when(F.col("every") == 1, F.array(*(row(1, none, 0, k, F.format_string(text, F.col(c))) for k, (text, c) in enumerate(total))))
+    heads = heads.otherwise(F.array(row(2, F.col("type"), 0, 0, F.format_string("### %s Issues (%d)", title_of(F.coalesce("type", none)), F.col("n")))))
+    out = counts.crossJoin(F.broadcast(compared)).select(F.inline(heads))
+    shown = F.array(row(2, F.col("type"), 0, 0, F.format_string("- **[%s]** %s", F.upper("severity"), F.col("description"))), F.when(F.col("suggestion").isNotNull(), row(2, F.col("type"), 0, 1, F.format_string("  - Suggestion: %s", F.col("suggestion")))))
+    top = _first(issues, ["type"], 10).select("rank", F.explode(F.array_compact(shown)).alias("x"))
+    return out.unionByName(top.select("x.part", "x.a", F.col("rank").alias("b"), "x.c", "x.line"))
 
 
 def verification_summary(results: DataFrame) -> DataFrame:

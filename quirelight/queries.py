@@ -14,6 +14,7 @@ from .operators import chapters as C
 from .operators import checks as K
 from .operators import enhance as E
 from .operators import listening as H
+from .operators import sampling as S
 from .plans import reports as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,13 +103,13 @@ def table(name: str, source: str, sql: str | None):
     return put
 
 
-def inline(name: str, schema: str, rows: list[tuple], sql: str):
-    """Register a query over a small table given here."""
+def derived(name: str, columns: str, sql: str):
+    """Register a query over columns that SQL of both engines derives from the documents."""
 
     def put(f: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(spark.createDataFrame(rows, schema))
-        names = ", ".join(c.split()[0] for c in schema.split(","))
-        ORACLES[name] = f"WITH input({names}) AS (VALUES {_values(rows)})\n{sql}"
+        QUERIES[name] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(F.expr(c) for c in columns.split("; "))))
+        made = columns.replace("; ", ", ")
+        ORACLES[name] = f"WITH input AS (SELECT {made} FROM documents)\n{sql}"
         return f
 
     return put
@@ -167,7 +168,7 @@ both("html_code_blocks", r"SELECT file_name, unnest(regexp_extract_all(content,
 both("md_images", r"SELECT file_name, unnest(regexp_extract_all(content, '!\[(.*?)\]\((.*?)\)', 1)) AS alt, unnest(regexp_extract_all(content, '!\[(.*?)\]\((.*?)\)', 2)) AS src FROM original_chapters")(lambda o, t: o.select("file_name", F.inline(X.images(F.col("content"), X.MD_IMAGE, 1, 2))))
 both("html_images", "SELECT file_name, unnest(regexp_extract_all(content, '<img[^>]*src=\"([^\"]+)\"[^>]*alt=\"([^\"]*)\"[^>]*/?>', 2)) AS alt, unnest(regexp_extract_all(content, '<img[^>]*src=\"([^\"]+)\"[^>]*alt=\"([^\"]*)\"[^>]*/?>', 1)) AS src FROM translated_chapters")(lambda o, t: t.select("file_name", F.inline(X.images(F.col("content"), X.HTML_IMAGE, 2, 1))))
 both("known_terms", "SELECT file_name, term FROM original_chapters, terms WHERE contains(content, term)")(lambda o, t: o.select("file_name", F.explode(X.known(F.col("content"), TERMS)).alias("term")))
-both("dict_terms", "SELECT term FROM terms")(lambda o, t: o.sparkSession.createDataFrame([(x,) for x in TERMS], "term string"))
+both("dict_terms", "SELECT term, count(file_name) AS n_chapters FROM terms LEFT JOIN original_chapters ON contains(content, term) GROUP BY term")(lambda o, t: o.select(F.inline(F.array(*(F.struct(F.lit(x).alias("term"), F.contains("content", F.lit(x)).alias("held")) for x in TERMS)))).groupBy("term").agg(F.count_if("held").alias("n_chapters")))
 both("image_comment_to_quote", r"SELECT doc_id, md5(regexp_replace('<!-- IMAGE_DESCRIPTION: ' || content || ' -->', '(?s)<!-- IMAGE_DESCRIPTION: (.*?) -->', chr(10) || '> 【图片描述】\1' || chr(10), 'g')) AS text_md5 FROM original_chapters")(lambda o, t: o.select("doc_id", F.md5(E.image_comment_to_quote(F.concat(F.lit("<!-- IMAGE_DESCRIPTION: "), F.col("content"), F.lit(" -->")))).alias("text_md5")))
 both("image_path_fix", "SELECT file_name, md5(replace(content, './images/', '../images/')) AS text_md5 FROM original_chapters")(lambda o, t: o.select("file_name", F.md5(E.image_path_fix(F.col("content"))).alias("text_md5")))
 both("strip_suffix", "SELECT replace(replace(file_name, '.md', '_with_descriptions.md'), '_with_descriptions.md', '.md') AS file_name FROM original_chapters")(lambda o, t: o.select(E.strip_suffix(F.replace("file_name", F.lit(".md"), F.lit("_with_descriptions.md"))).alias("file_name")))
@@ -189,17 +190,24 @@ table("table_line_count", "documents", r"SELECT CAST(sum(len(regexp_extract_all(
 table("split_sentences", "documents", r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;]+[。！？；.!?;]*|[。！？；.!?;]+'), lambda x: regexp_replace(x, '^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+\z', '', 'g')), lambda x: x <> '') AS s FROM documents))")(lambda d: d.select("doc_id", F.posexplode(E.sentences(F.col("text"))).alias("pos", "sentence")))
 table("term_density", "documents", rf"WITH terms(term) AS (VALUES {_values([(t,) for t in TERMS])}) SELECT doc_id, CAST((SELECT count(*) FROM terms WHERE contains(text, term)) AS DOUBLE) / greatest(1, len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+'))) AS density FROM documents")(lambda d: d.select("doc_id", E.term_density(F.col("text"), TERMS).alias("density")))
 table("term_categories", "documents", f"WITH c(category, term) AS (VALUES {_values([(c, t) for c, ts in CATEGORIES.items() for t in ts])}) SELECT category, term, count(*) AS n_documents FROM documents JOIN c ON contains(text, term) GROUP BY ALL")(lambda d: E.term_categories(d, CATEGORIES))
-inline("translation_route", "id int, ratio string, density string", [(1, "0.30", "0.00"), (2, "0.10", "0.16"), (3, "0.10", "0.06"), (4, "0.20", "0.06"), (5, "0.00", "0.00"), (6, "0.29", "0.15")], "SELECT id, CASE WHEN CAST(ratio AS DOUBLE) >= 0.3 OR CAST(density AS DOUBLE) > 0.15 THEN 'skip' WHEN CAST(density AS DOUBLE) > 0.05 AND CAST(ratio AS DOUBLE) < 0.15 THEN 'translate_protected' ELSE 'translate' END AS route FROM input")(lambda d: d.select("id", E.route(F.col("ratio").cast("double"), F.col("density").cast("double")).alias("route")))
-inline("input_kind", "name string", [("a.epub",), ("B.PDF",), ("c.md",), ("d.markdown",), ("folder",), ("x.txt",)], "SELECT name, CASE WHEN lower(name) LIKE '%.epub' THEN 'epub' WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN lower(name) LIKE '%.md' OR lower(name) LIKE '%.markdown' THEN 'markdown' WHEN NOT contains(name, '.') THEN 'folder' ELSE 'unknown' END AS kind FROM input")(lambda d: d.select("name", E.input_kind(F.col("name")).alias("kind")))
-inline("cover_pick", "archive string, ord int, name string", [("a", 0, "OPS/text.xhtml"), ("a", 1, "OPS/Cover.JPG"), ("a", 2, "OPS/cover.png"), ("b", 0, "cover.svg"), ("b", 1, "content.opf"), ("c", 0, "x.xhtml")], "SELECT archive, ord, name, 'cover' AS kind FROM input WHERE regexp_matches(lower(name), 'cover') AND regexp_matches(lower(name), '[.](jpg|jpeg|png)$') QUALIFY row_number() OVER (PARTITION BY archive ORDER BY ord) = 1 UNION ALL SELECT archive, ord, name, 'opf' FROM input WHERE ends_with(name, '.opf') AND archive NOT IN (SELECT archive FROM input WHERE regexp_matches(lower(name), 'cover') AND regexp_matches(lower(name), '[.](jpg|jpeg|png)$'))")(E.cover_pick)
-inline("image_file_count", "name string", [("a.jpg",), ("b.PNG",), ("c.png",), ("d.webp",), ("e.svg",), ("f.gif",)], "SELECT count(*) AS n_images FROM input WHERE regexp_matches(name, '[.](jpg|png|gif|webp)$')")(lambda d: d.where(E.is_image("name")).agg(F.count("*").alias("n_images")))
-inline("image_filter", "name string, size int, width int, height int", [("fig1.png", 9000, 400, 300), ("qrcode.png", 9000, 400, 300), ("cover.jpg", 9000, 400, 300), ("tiny.png", 499, 400, 300), ("thin.png", 9000, 49, 300), ("icon_a.png", 9000, 80, 80), ("ok.gif", 500, 50, 50)], "SELECT name, NOT (regexp_matches(lower(name), 'qr_?code|cover|author|decoration|emoji|icon') OR size < 500 OR width < 50 OR height < 50) AS kept FROM input")(lambda d: d.select("name", E.image_passes().alias("kept")))
-inline("image_route", "name string, image_class string, body string", [("a.png", "CODE_SCREENSHOT", "int a;"), ("b.png", "TABLE_IMAGE", "| a | b |"), ("c.png", "TEXT_SCREENSHOT", "words"), ("d.png", "DIAGRAM", "boxes"), ("e.png", "CHART", "bars"), ("f.png", "OTHER", "x")], "SELECT name, CASE image_class WHEN 'CODE_SCREENSHOT' THEN '<!-- ' || name || ' -->' || chr(10) || '```java' || chr(10) || body || chr(10) || '```' || chr(10) || '> 【代码说明】' WHEN 'TABLE_IMAGE' THEN '<!-- ' || name || ' -->' || chr(10) || body || chr(10) || '> 【表格说明】' WHEN 'TEXT_SCREENSHOT' THEN body ELSE '![](' || name || ')' || chr(10) || '> 【图片描述】' || body END AS markdown FROM input")(lambda d: d.select("name", E.image_route().alias("markdown")))
-inline("cover_decision", "id int, user_cover string, original_cover string, accepted int, has_api_key int", [(1, "u.png", "o.png", 1, 1), (2, "", "o.png", 1, 1), (3, "", "o.png", 0, 1), (4, "", "", 1, 0), (5, "", "o.png", 0, 0)], "SELECT id, CASE WHEN user_cover <> '' THEN 'user' WHEN original_cover <> '' AND accepted = 1 THEN 'original' WHEN has_api_key = 1 THEN 'ai' ELSE 'programmatic' END AS cover FROM input")(lambda d: d.select("id", E.cover_decision().alias("cover")))
-inline("image_description", "kind string, conclusion string, elements string, points string", [("bar chart", "sales grow", "axes, bars", "a;b;c"), ("diagram", "", "boxes", "x;y;z;w;v")], "SELECT '> 【图片描述】' || chr(10) || '> 图表类型：' || kind || chr(10) || '> 结论：' || conclusion || chr(10) || '> 要素：' || elements || chr(10) || '> 要点：' || array_to_string(list_transform(string_split(points, ';'), lambda x, i: '第' || ['一', '二', '三', '四', '五', '六', '七'][i] || '，' || x), '；') AS note FROM input")(lambda d: d.select(E.image_description().alias("note")))
-inline("detect_code_language", "code string", [("def f(x):\n    return x\nimport os",), ("public class A { private int x; }",), ("SELECT a FROM t WHERE b = 1",), ("const f = () => { let x = 1; }",), ("echo $HOME && cd /tmp",), ("plain",)], E.LANGUAGE_SQL)(lambda d: d.select("code", E.detect_language(F.col("code")).alias("language")))
-inline("narrate_lists", "id int, body string", [(1, "intro\n- one\n- two\ntail"), (2, "* a"), (3, "none")], r"SELECT id, CAST(i AS INTEGER) AS pos, '第' || i || '点：' || x[i] AS sentence FROM (SELECT id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT id, regexp_extract_all(body, '(?m)^[-*] (.*)$', 1) AS x FROM input))")(lambda d: d.select("id", F.posexplode(E.list_items(F.col("body"))).alias("i", "x")).select("id", (F.col("i") + 1).alias("pos"), F.concat(F.lit("第"), (F.col("i") + 1).cast("string"), F.lit("点："), "x").alias("sentence")))
-inline("narrate_tables", "id int, body string", [(1, "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"), (2, "no table")], r""", l AS (SELECT id, regexp_extract_all(body, '(?m)^\|(.*)\|$', 1) AS x FROM input), r AS (SELECT id, list_transform(x, lambda y: list_transform(string_split(y, '|'), lambda z: trim(z))) AS x FROM l WHERE len(x) > 2)
+# files, archives and images that carry documents: names, sizes and kinds follow from the documents
+_KINDS = lambda n, *names: "CASE " + " ".join(f"WHEN {n} % {len(names)} = {k} THEN '{x}'" for k, x in enumerate(names)) + " END"
+_NAME = f"concat({_KINDS('doc_id', 'fig', 'Cover', 'qrcode', 'photo', 'icon_', 'author', 'chart')}, doc_id, {_KINDS('length(text)', '.jpg', '.PNG', '.png', '.webp', '.svg', '.gif')}) AS name"
+_R, _D = rf"CAST(len(regexp_extract_all(text, '[\x{{4E00}}-\x{{9FFF}}]')) AS DOUBLE) / len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]'))", r"CAST((SELECT count(*) FROM terms WHERE contains(text, term)) AS DOUBLE) / greatest(1, len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{85}\p{Z}]+')))"
+derived("translation_route", "doc_id; text", f", terms(term) AS (VALUES {_values([(t,) for t in TERMS])}), rated AS (SELECT doc_id, {_R} AS ratio, {_D} AS density FROM input) SELECT doc_id, CASE WHEN ratio >= 0.3 OR density > 0.15 THEN 'skip' WHEN density > 0.05 AND ratio < 0.15 THEN 'translate_protected' ELSE 'translate' END AS route FROM rated")(lambda d: d.select("doc_id", E.route(E.chinese_ratio(F.col("text")), E.term_density(F.col("text"), TERMS)).alias("route")))
+derived("input_kind", f"concat('in', doc_id, {_KINDS('length(text)', '.epub', '.PDF', '.md', '.markdown', '', '.txt')}) AS name", "SELECT name, CASE WHEN lower(name) LIKE '%.epub' THEN 'epub' WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN lower(name) LIKE '%.md' OR lower(name) LIKE '%.markdown' THEN 'markdown' WHEN NOT contains(name, '.') THEN 'folder' ELSE 'unknown' END AS kind FROM input")(lambda d: d.select("name", E.input_kind(F.col("name")).alias("kind")))
+derived("cover_pick", f"concat(source, '-', lang, doc_id % 50) AS archive; doc_id AS ord; concat('OPS/', {_KINDS('length(text)', 'text', 'cover', 'Cover', 'content', 'page', 'back')}, doc_id, {_KINDS('doc_id', '.xhtml', '.JPG', '.opf', '.png', '.svg')}) AS name", "SELECT archive, ord, name, 'cover' AS kind FROM input WHERE regexp_matches(lower(name), 'cover') AND regexp_matches(lower(name), '[.](jpg|jpeg|png)$') QUALIFY row_number() OVER (PARTITION BY archive ORDER BY ord) = 1 UNION ALL SELECT archive, ord, name, 'opf' FROM input WHERE ends_with(name, '.opf') AND archive NOT IN (SELECT archive FROM input WHERE regexp_matches(lower(name), 'cover') AND regexp_matches(lower(name), '[.](jpg|jpeg|png)$'))")(E.cover_pick)
+derived("image_file_count", f"source; {_NAME}", "SELECT source, count(*) AS n_images FROM input WHERE regexp_matches(name, '[.](jpg|png|gif|webp)$') GROUP BY source")(lambda d: d.where(E.is_image("name")).groupBy("source").agg(F.count("*").alias("n_images")))
+derived("image_filter", f"{_NAME}; length(text) AS size; length(text) % 600 AS width; length(text) % 300 + 20 AS height", "SELECT name, NOT (regexp_matches(lower(name), 'qr_?code|cover|author|decoration|emoji|icon') OR size < 500 OR width < 50 OR height < 50) AS kept FROM input")(lambda d: d.select("name", E.image_passes().alias("kept")))
+derived("image_route", f"{_NAME}; {_KINDS('doc_id', 'CODE_SCREENSHOT', 'TABLE_IMAGE', 'TEXT_SCREENSHOT', 'DIAGRAM', 'CHART', 'OTHER')} AS image_class; text AS body", "SELECT name, md5(CASE image_class WHEN 'CODE_SCREENSHOT' THEN '<!-- ' || name || ' -->' || chr(10) || '```java' || chr(10) || body || chr(10) || '```' || chr(10) || '> 【代码说明】' WHEN 'TABLE_IMAGE' THEN '<!-- ' || name || ' -->' || chr(10) || body || chr(10) || '> 【表格说明】' WHEN 'TEXT_SCREENSHOT' THEN body ELSE '![](' || name || ')' || chr(10) || '> 【图片描述】' || body END) AS markdown_md5 FROM input")(lambda d: d.select("name", F.md5(E.image_route()).alias("markdown_md5")))
+derived("cover_decision", "doc_id; CASE WHEN lang = 'fr' THEN 'u.png' ELSE '' END AS user_cover; CASE WHEN doc_id % 3 > 0 THEN 'o.png' ELSE '' END AS original_cover; length(text) % 2 AS accepted; doc_id % 2 AS has_api_key", "SELECT doc_id, CASE WHEN user_cover <> '' THEN 'user' WHEN original_cover <> '' AND accepted = 1 THEN 'original' WHEN has_api_key = 1 THEN 'ai' ELSE 'programmatic' END AS cover FROM input")(lambda d: d.select("doc_id", E.cover_decision().alias("cover")))
+# one point a line of the text
+_TENS = "['', '十', '二十', '三十', '四十', '五十', '六十', '七十', '八十', '九十'][i // 10 + 1] || ['', '一', '二', '三', '四', '五', '六', '七', '八', '九'][i % 10 + 1]"
+derived("image_description", "doc_id; source AS kind; lang AS conclusion; left(text, 20) AS elements; replace(replace(text, ';', ','), chr(10), ';') AS points", f"SELECT doc_id, md5('> **图片说明**：This is a ' || kind || '.' || chr(10) || '> 核心结论是：' || conclusion || chr(10) || '> 关键元素包括：' || elements || chr(10) || '> 要点总结：' || array_to_string(list_transform(list_filter(list_transform(string_split(points, ';'), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x, i: chr(10) || '> - 第' || CASE WHEN i <= 99 THEN {_TENS} ELSE CAST(i AS VARCHAR) END || '，' || x), '')) AS note_md5 FROM input")(lambda d: d.select("doc_id", F.md5(E.image_description()).alias("note_md5")))
+derived("detect_code_language", "doc_id; text AS code", E.LANGUAGE_SQL.replace("SELECT code,", "SELECT doc_id, code,").replace("SELECT doc_id, code, CASE", "SELECT doc_id, CASE", 1))(lambda d: d.select("doc_id", E.detect_language(F.col("code")).alias("language")))
+derived("narrate_lists", "doc_id AS id; concat('- ', replace(text, chr(10), concat(chr(10), '- '))) AS body", r"SELECT id, CAST(i AS INTEGER) AS pos, '第' || i || '点：' || x[i] AS sentence FROM (SELECT id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT id, regexp_extract_all(body, '(?m)^[-*] (.*)$', 1) AS x FROM input))")(lambda d: d.select("id", F.posexplode(E.list_items(F.col("body"))).alias("i", "x")).select("id", (F.col("i") + 1).alias("pos"), F.concat(F.lit("第"), (F.col("i") + 1).cast("string"), F.lit("点："), "x").alias("sentence")))
+# a table of the lines of a text, with its length beside each
+derived("narrate_tables", "doc_id AS id; concat('| line | of |', chr(10), '|---|---|', chr(10), '| ', replace(replace(text, '|', '/'), chr(10), concat(' | ', lang, ' |', chr(10), '| ')), ' | ', lang, ' |') AS body", r""", l AS (SELECT id, regexp_extract_all(body, '(?m)^\|(.*)\|$', 1) AS x FROM input), r AS (SELECT id, list_transform(x, lambda y: list_transform(string_split(y, '|'), lambda z: trim(z))) AS x FROM l WHERE len(x) > 2)
 SELECT id, CAST(i - 2 AS INTEGER) AS row, array_to_string(list_transform(list_zip(x[1], x[i]), lambda z: z[1] || '：' || z[2]), '，') || '。' AS sentence FROM (SELECT id, x, unnest(range(3, len(x) + 1)) AS i FROM r)""")(E.narrate_tables)
 
 
@@ -263,7 +271,7 @@ SELECT 0 AS ord, '| 章节数 | ' || oc || ' | ' || tc || ' | ' || CASE WHEN oc
 table("long_sentences", "documents", f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_LONG('text')} AS s FROM documents))")(lambda d: d.select("doc_id", F.posexplode(H.long_sentences(F.col("text"))).alias("pos", "line")))
 
 
-@table("sample_chapters", "documents", None)
+@table("sample_chapters", "documents", "SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 5")
 def sample_chapters(d: DataFrame) -> DataFrame:
     """A deterministic sample of five chapters, by hash."""
-    return d.select("doc_id", "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(5)
+    return d.select("doc_id", "source").orderBy(S.rank_key(F.col("doc_id")), "doc_id").limit(5)
