@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stage
+from .skew import spread_join
 
 #: Bytes of text in a block, about; a longer text is a block of its own. A block sends a row to each bucket: where there are many buckets, blocks are larger, up to MOST_BYTES.
 BLOCK_BYTES, BUCKET_BYTES, MOST_BYTES = 2 << 20, 4 << 10, 32 << 20
@@ -51,6 +52,13 @@ def text_classes(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     return keyed.select("doc_id", "cls"), least.select(F.col("m.doc_id").alias("rep"), F.col("m.text").alias("text"))
 
 
+def of_members(spark: SparkSession, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members (doc_id, cls) with what classes (cls and any columns, a row each) say; a text that very many documents hold moves none of them."""
+    members = stage.written(spark, members, "members")
+    copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
+    return spread_join(members, stage.written(spark, classes.join(copies, "cls"), "classes"), "cls", "copies").drop("copies")
+
+
 def stage_blocks(spark: SparkSession, texts: DataFrame, name: str) -> DataFrame:
     """texts (id long, text string) packed into rows (block long, data binary) in the shared folder."""
     most = min(MOST_BYTES, max(BLOCK_BYTES, BUCKET_BYTES * stage.buckets(spark)))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import stage
 from .components import components, forest
+from .skew import spread_join
 from .vectors import usable
 
 TILE = 1024
@@ -110,7 +111,9 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFra
     named = comps.join(distinct.select(F.col("key").alias("id"), "rep"), "id").groupBy("component_id").agg(F.min("rep").alias("least"))
     comps = comps.join(named, "component_id").select("id", "least")
     classes = distinct.join(total, F.col("key") == total["id"], "left").drop("id").join(comps, F.col("key") == comps["id"], "left")
-    classes = classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
-    out = fine.join(classes, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    same = F.struct("label", "v").alias("same")
+    classes = classes.select(same, "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    # rows of a vector that very many repeat stay where they are
+    out = spread_join(fine.select("vec_id", same), stage.written(spark, classes, "classes"), "same", "mult").select("vec_id", "n_links", "component_id")
     alone = rows.where(~(F.col("label").isNotNull() & usable("v", zero=False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -26,7 +26,9 @@ from . import stage
 ROUNDS, CLOSE, STALL = 200, 1e-4, 10
 OUT = ("n_tokens", "topic", "weight", "probability", "kept", "target_gap")
 #: Names of the columns that are added on the way.
-S, L, T, P = "__mix_source", "__mix_lang", "__mix_topic", "__mix_probability"
+S, L, T, P, K = "__mix_source", "__mix_lang", "__mix_topic", "__mix_probability", "__mix_key"
+#: Cells of source, language and topic that are broadcast; of more, those with a larger share of the tokens than its inverse.
+CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -157,5 +159,14 @@ def mix(docs: DataFrame, budget: float = 0.5, power: float = 0.7, langs: dict[st
         h = {v: x * step_of(want_t[v], sum(r["w"] for r in sums if r[T] == v), sum(r["m"] * step[r[L]] for r in sums if r[T] == v)) for v, x in h.items()}
     weights = stage.written(spark, fitted().select(S, L, T, "p"), "weights")
     # a cell with tokens that is in no fit is wanted by no side; documents of cells without tokens go by the budget alone
-    rows = rows.join(weights.unionByName(cells.select(S, L, T, F.lit(None).cast("double").alias("p")).join(weights, [S, L, T], "left_anti")).withColumn("__mix_cell", F.lit(True)), [S, L, T], "left")
+    known = cells.join(weights, [S, L, T], "left").withColumn("__mix_cell", F.lit(True))
+    known = stage.written(spark, known.select(F.struct(S, L, T).alias(K), "p", "n", "__mix_cell"), "cell-weights")
+    count, tokens = known.agg(F.count("*"), F.sum("n")).first()
+    often, rest = known.drop("n"), None
+    if count > CELLS:  # then only large cells are broadcast, and their documents stay where they are
+        often, rest = (known.where(F.col("n") * CELLS > tokens).drop("n"), known.where(F.col("n") * CELLS <= tokens).drop("n"))
+    rows = rows.withColumn(K, F.struct(S, L, T)).join(F.broadcast(often), K, "left")
+    if rest is not None:
+        cell = F.col("__mix_cell")
+        rows = rows.where(cell).unionByName(rows.where(cell.isNull()).drop("p", "__mix_cell").join(rest, K, "left"))
     return result(rows, F.coalesce("p", F.when(F.col("__mix_cell"), 0.0).otherwise(float(budget))), gap)

@@ -211,15 +211,15 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 
     # round 1: against the first text of each shingle
     first = prefixes.groupBy("tok").agg(F.count("*").alias("m"), F.min(F.struct("rep", "key", "n")).alias("f")).where("m > 1")
-    stars = prefixes.join(first, "tok").where("key <> f.key").where(fits("n", "f.n")).select(F.col("f.key").alias("c"), F.col("key").alias("k")).distinct()
+    stars = spread_join(prefixes, stage.written(spark, first, "firsts"), "tok", "m").where("key <> f.key").where(fits("n", "f.n")).select(F.col("f.key").alias("c"), F.col("key").alias("k")).distinct()
     stars = stage.written(spark, stars, "stars")
     linked = stage.written(spark, _verified(stars, held_sets, percent), "linked")
     comps = components(spark, linked)
     # round 2: of each shingle's texts, those outside the first one's component against all of other components
     where = prefixes.join(comps.withColumnRenamed("id", "key"), "key", "left").select("tok", "key", "n", "rep", F.coalesce("component_id", "key").alias("comp"))
     where = stage.written(spark, where, "placed")
-    mixed = where.groupBy("tok").agg(F.min(F.struct("rep", "key", "comp")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", F.col("f.key").alias("fk"), F.col("f.comp").alias("fc"))
-    outside = stage.written(spark, where.join(mixed, "tok").where("comp <> fc").select(F.col("fc").alias("home"), "key").distinct(), "outside")
+    mixed = where.groupBy("tok").agg(F.min(F.struct("rep", "key", "comp")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("tok", F.col("f.comp").alias("fc"), "m")
+    outside = stage.written(spark, spread_join(where, stage.written(spark, mixed, "mixed"), "tok", "m").where("comp <> fc").select(F.col("fc").alias("home"), "key").distinct(), "outside")
     again = stage.written(spark, _homes(outside, comps, held_sets, percent), "linked")
     if not again.isEmpty():
         comps = components(spark, comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(again))
@@ -228,4 +228,4 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     named = found.groupBy("component_id").agg(F.min("rep").alias("least"))
     done = comps.join(named, "component_id").select(F.col("id").alias("key"), F.col("least").alias("component_id"))
     classes = sets.select("cls", "rep", "key", F.col("n").alias("n_shingles")).join(done, "key", "left").select("cls", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    return members.join(classes, "cls").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("text_class"))
+    return B.of_members(spark, members, classes).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("text_class"))

@@ -262,7 +262,7 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], WordTokenizer], size
             yield pa.record_batch({"cls": pa.array(cls, pa.string()), "pieces": pa.array(made, kind)})
 
     counted = least.mapInArrow(count, "cls string, pieces array<struct<start: long, length: long, crc: long>>")
-    each = members.join(counted, "cls").select("doc_id", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "piece", "p.start", "p.length", F.col("p.crc").alias("ids_crc32"))
+    each = B.of_members(spark, members, counted).select("doc_id", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "piece", "p.start", "p.length", F.col("p.crc").alias("ids_crc32"))
     each = stage.written(spark, each, "pieces")
     full = each.where(F.col("length") == size).select("*", F.xxhash64("doc_id", "start", F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = each.where(F.col("length") < size)

@@ -3,11 +3,12 @@
 Base spans are the leftmost non-overlapping matches of each kind. Their values are the protected entities. A term (a word of
 TERM letters or more, folded) is held against the corpus: with N documents, of which df(t) hold the term, df(e) the entity and
 c(t, e) both, the entity's information is IC(e) = -log2(df(e) / N), and who reads the term knows the entity with probability P(e | t), so the term gives
-away PMI(t, e) = IC(e) + log2 P(e | t) bits of it. P(e | t) is estimated by the lower end of Wilson's interval (Z standard errors) around c / df, so
-that few co-occurrences prove little: a word seen once beside an entity, as most rare words are, has at most 0.21. What speaks for the pair besides counts
-for documents that hold both: PART of them if the term is a run of letters of the entity's own value (a name in an e-mail address), BESIDE if it is
-capitalised and within NEAR letters of the entity. In texts that hold the entity, terms with P(e | t) of CERTAIN or more that give away GENERALISE of its bits are
-generalised, those that give away REMOVE are removed. Every entity is estimated; counts are over all documents, copies included.
+away PMI(t, e) = IC(e) + log2 P(e | t) bits of it. Two estimates of P(e | t) decide: c / df, and the lower end of Wilson's interval (Z standard errors) around
+it, by which few co-occurrences prove little: a word seen once beside an entity, as most rare words are, has at most 0.21. What speaks for the pair besides
+counts for documents that hold both: PART of them if the term is a run of letters of the entity's own value (a name in an e-mail address), BESIDE if it is
+capitalised and within NEAR letters of the entity. In texts that hold the entity, terms that give away GENERALISE of its bits and whose lower end is CERTAIN
+or more (which leaves one bit) are generalised; those whose lower end gives away REMOVE are removed. Every entity is estimated; counts are over all documents, copies
+included.
 
 A term is generalised to the class of words with its first STEM letters, written [abc*], if one of them is in too many documents to
 disclose any entity; else to the class of all terms, [TERM].
@@ -94,7 +95,7 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     texts = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
     entity = each.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.concat_ws(":", F.count("*"), *texts).alias("same"))
     entity = stage.written(spark, entity, "entities")
-    named = each.join(entity, "entity").select("cls", "docs", F.col("same").alias("entity"), "n_e").distinct()
+    named = spread_join(each, entity, "entity", "n_e").select("cls", "docs", F.col("same").alias("entity"), "n_e").distinct()
     holds = stage.written(spark, named, "holds")
     # what speaks for a term beside the counts, by entity
     part = entity.select(F.col("same").alias("entity"), F.explode(F.regexp_extract_all("entity", F.lit(rf"(?<=:|\P{{L}}){WORD}"), F.lit(0))).alias("term"), F.lit(PART).alias("speaks"))
@@ -107,7 +108,7 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     corpus = found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     counted = corpus.crossJoin(F.broadcast(size)).withColumn("wide", F.expr(f"df > 2 * top + {PART}")).drop("top")
     counted = stage.written(spark, counted, "counted")
-    asked = once.select("cls", F.explode("ws").alias("term")).join(counted.where("not wide").drop("wide"), "term")
+    asked = spread_join(once.select("cls", F.explode("ws").alias("term")), counted.where("not wide").drop("wide"), "term", "df")
     asked = stage.written(spark, asked, "asked")
     # entities of many documents are paired with all terms of their texts, others only with those that something speaks for
     often = asked.join(holds.where(F.col("n_e") >= FEWEST), "cls").where(f"n_e < n and df <= 2 * n_e + {PART}").join(speaks, ["entity", "term"], "left")
@@ -115,8 +116,9 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     rows = often.withColumn("speaks", F.coalesce("speaks", F.lit(0))).unionByName(rare)
     rows = stage.written(spark, rows, "pairs")
     counts = rows.groupBy("entity", "term", "df", "n_e", "n", "speaks").agg(F.sum("docs").alias("c"))
-    counts = counts.withColumn("p", F.expr(likely("cast(c + speaks as double)", "cast(df + speaks as double)"))).where(F.col("p") >= CERTAIN)
-    pairs = counts.select("entity", "term", F.expr("1 + log2(p) / -log2(n_e / n)").alias("share")).where(F.col("share") >= GENERALISE)
+    counts = counts.withColumn("low", F.expr(likely("cast(c + speaks as double)", "cast(df + speaks as double)"))).where(F.col("low") >= CERTAIN)
+    counts = counts.where(F.expr(f"1 + log2((c + speaks) / (df + speaks)) / -log2(n_e / n) >= {GENERALISE}"))
+    pairs = counts.select("entity", "term", F.expr("1 + log2(low) / -log2(n_e / n)").alias("share"))
     lost = rows.select("cls", "entity", "term").join(pairs, ["entity", "term"]).groupBy("cls", "term").agg(F.max("share").alias("share"))
     stem = F.substring("term", 1, STEM).alias("stem")
     classes = counted.where("wide").select(stem).distinct().withColumn("wide", F.lit(True))

@@ -200,4 +200,4 @@ def substring_dedup(docs: DataFrame, width: int = 13, digest: bool = False) -> D
     done = B.with_answers(held, first, second).mapInArrow(marked, "cls string, rep long, n_words long, n_removed long, kept string")
     empty = F.sha2(F.lit(""), 256) if digest else F.lit("")
     lost = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= width)
-    return members.join(done, "cls").select("doc_id", "n_words", F.when(lost, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(lost, empty).otherwise(F.col("kept")).alias("kept"))
+    return B.of_members(spark, members, done).select("doc_id", "n_words", F.when(lost, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(lost, empty).otherwise(F.col("kept")).alias("kept"))

@@ -141,8 +141,9 @@ def _search(k: int):
                     some = index.search(q, k, np.arange(*np.searchsorted(ids, [qid, qid + 1])))
                     score = _scores(index, some, q)
                     best = np.lexsort((ids[some], -score))[:k] if score.dtype != object else np.array(sorted(range(len(some)), key=lambda i: (-score[i], ids[some[i]]))[:k], int)
-                    # a score that does not fit 64 bits is an OverflowError here
-                    out.append((np.full(len(best), qid), ids[some[best]], np.array([int(x) for x in score[best]], np.int64)))
+                    if score.dtype == object and any(abs(x) >= 1 << 63 for x in score[best]):
+                        raise OverflowError(f"a score of vec_id {qid} does not fit 64 bits")
+                    out.append((np.full(len(best), qid), ids[some[best]], score[best].astype(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
 

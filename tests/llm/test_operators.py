@@ -323,3 +323,12 @@ def test_vectors_that_repeat_an_id_count_for_themselves(spark, kind):
     got = sorted(map(tuple, embedding_near_dedup(df).collect()))
     assert [r[:2] for r in got] == [(1, 1), (1, 2), (2, 1), (3, 2), (3, 2), (4, 0)]
     assert [r[2] for r in got] == [1, 1, 1, 1, 1, 4]
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    """Every score fits 64 bits, the product of the largest components and the length does not."""
+    one = lambda d: [6e5 if k == d else 0.0 for k in range(64)]
+    rows = [(0, one(0)), (1, one(0)), (2, one(1)), (3, [-x for x in one(0)])]
+    out = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2)
+    top = int(6e5 * 1024) ** 2
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 1, top), (0, 2, 2, 0)]

