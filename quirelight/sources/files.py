@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as X
+from .named_files import write_named
 
 
 def read_chapters(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,17 +139,9 @@ def image_size(data: pd.Series) -> pd.DataFrame:
 
 
 def write_chapters(chapters: DataFrame, folder: str) -> None:
-    """One file for each chapter, by its name, written by the tasks; the folder must be one that all executors share."""
-
-    def write(rows: Iterator) -> None:
-        from pathlib import Path
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        for row in rows:
-            with open(Path(folder) / posixpath.basename(row["file_name"]), "w", encoding="utf-8", newline="") as f:
-                f.write(row["content"])
-
-    chapters.select("file_name", "content").foreachPartition(write)
+    """One file for each chapter, by the last part of its name; all of them or, if the job fails, none. The folder must be one that all executors share."""
+    name = F.element_at(F.split("file_name", "/"), -1)
+    write_named(chapters.select(name.alias("name"), F.coalesce("content", F.lit("")).alias("content")), folder)
 
 
 def write_cover(picked: DataFrame, path: str) -> bool:

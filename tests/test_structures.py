@@ -297,3 +297,58 @@ def test_queries_equal_their_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     close = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     assert close(map(tuple, got.select(columns).collect())) == close(want)
+
+
+# --- files by name -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_files_appear_together_or_not_at_all(spark, tmp_path):
+    from quirelight.sources.named_files import write_named
+
+    rows = spark.createDataFrame([(f"{k:03}_ch.md", f"text {k}\r\né") for k in range(50)], "name string, content string").repartition(5)
+    good = str(tmp_path / "good")
+    write_named(rows, good)
+    assert sorted(os.listdir(good)) == [f"{k:03}_ch.md" for k in range(50)]
+    assert open(f"{good}/007_ch.md", newline="").read() == "text 7\r\né"
+    # one task fails: no file, nothing left behind, what was there stays
+    bad = rows.withColumn("content", F.when(F.col("name") == "031_ch.md", F.raise_error(F.lit("lost"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="lost"):
+        write_named(bad, good)
+    with pytest.raises(Exception, match="not a file name"):
+        write_named(rows.withColumn("name", F.when(F.col("name") == "001_ch.md", "../x").otherwise(F.col("name"))), str(tmp_path / "none"))
+    # a task that was still at work may leave its hidden folder
+    shown = lambda folder: [n for n in os.listdir(folder) if not n.startswith(".job-")]
+    assert shown(tmp_path / "none") == [] and len(shown(good)) == 50 and open(f"{good}/007_ch.md", newline="").read() == "text 7\r\né"
+    with pytest.raises(Exception, match="twice"):
+        write_named(rows.withColumn("name", F.lit("same.md")), str(tmp_path / "twice"))
+    assert shown(tmp_path / "twice") == []
+    write_named(spark.createDataFrame([("b.bin", bytearray(b"\0\1")), ("n.bin", None)], "name string, content binary"), good, overwrite=True)
+    assert sorted(shown(good)) == ["b.bin", "n.bin"] and open(f"{good}/b.bin", "rb").read() == b"\0\1"
+
+
+def test_a_task_that_fails_once_leaves_no_second_copy(tmp_path):
+    """In a session that tries tasks again: the first attempt of one task dies after it wrote some files."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from quirelight.sources.named_files import write_named
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+mark = {str(tmp_path / "mark")!r}
+def once(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            if b.column(0)[k].as_py() == "17.md" and not os.path.exists(mark):
+                open(mark, "w").close()
+                raise RuntimeError("dies once")
+            yield b.slice(k, 1)
+rows = spark.range(20).selectExpr("concat(id, '.md') as name", "concat('t', id) as content").coalesce(2).mapInArrow(once, "name string, content string")
+write_named(rows, {str(tmp_path / "out")!r})
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=240, capture_output=True)
+    assert os.path.exists(tmp_path / "mark")
+    assert sorted(os.listdir(tmp_path / "out")) == sorted(f"{k}.md" for k in range(20))
