@@ -19,8 +19,8 @@ KEYWORD = (
     r"|([A-Za-z0-9_]+)"
 )
 LONG = 80
-#: Lines end at \n only, as they do in the SQL.
-RUN = "(?dm)" + CODE_RUN
+#: Lines end at \n only, as they do in the SQL. Groups are repeated without a way back: otherwise Java's matcher nests a call for each line.
+RUN = "(?dm)" + CODE_RUN[:-1] + "++"
 
 
 def fence_code(text: Column) -> Column:
@@ -78,7 +78,28 @@ def clean_format(text: Column) -> Column:
 def add_notes(text: Column) -> Column:
     """A note under each fenced block and each table of lines between bars."""
     text = F.regexp_replace(text, r"(```[^\n]*\n[\s\S]*?\n```)", "$1\n> 【代码说明】")
-    return F.regexp_replace(text, r"(?dm)(^\|[^\n]*\|$(?:\n^\|[^\n]*\|$)+)", "$1\n> 【表格说明】")
+    return F.regexp_replace(text, r"(?dm)(^\|[^\n]*\|$(?:\n^\|[^\n]*\|$)++)", "$1\n> 【表格说明】")
+
+
+#: A fenced block, or a table of lines between bars.
+NOTED = r"```[\s\S]*?```|(?:\|[^\n]*\|\n){2,}"
+
+
+def describe_notes(text: Column) -> Column:
+    """A note under each fenced block and each table that says what is there: language and lines of code; columns, rows and names of a table.
+
+    The language is the fence's own word, else the detected one. A table is two lines or more between bars, each with its line end; rules do not count as rows.
+    """
+    block = f"(?dm)^(?:{NOTED}+)"  # the repeated group has no way back
+    parts = F.arrays_zip(F.split(text, block, -1).alias("between"), X.every(text, block).alias("block"))
+    lines = lambda b: F.size(F.split(b, "\n"))
+    word = lambda b: F.regexp_extract(b, r"^```([A-Za-z0-9+#-]*)", 1)
+    code = lambda b: F.concat(b, L("\n> 【代码说明】"), F.when(word(b) != "", word(b)).otherwise(E.detect_language(b)), L("，"), F.greatest(L(0), lines(b) - 2).cast("string"), L(" 行"))
+    first = lambda b: F.transform(F.split(F.regexp_extract(b, r"^\|([^\n]*)\|\n", 1), r"\|"), lambda x: F.trim(x))
+    rules = lambda b: X.count(b, r"(?dm)^\|[-:| \t]+\|$")
+    grid = lambda b: F.concat(b, L("> 【表格说明】"), F.size(first(b)).cast("string"), L(" 列，"), F.greatest(L(0), lines(b) - 2 - rules(b)).cast("string"), L(" 行："), F.array_join(first(b), "、"), L("\n"))
+    new = lambda b: F.when(b.isNull(), "").when(F.startswith(b, L("```")), code(b)).otherwise(grid(b))
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["between"], new(p["block"]))), "")
 
 
 def chapter_intro(text: Column) -> Column:

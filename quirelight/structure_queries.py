@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lexicon import TERMS
+from .operators import acronyms as Y
 from .operators import alignment as A
+from .operators import answers as K
 from .operators import assets as G
 from .operators import chapters as C
 from .operators import dictionary as D
 from .operators import enhance as E
+from .operators import listening as N
 from .operators import paragraphs as H
 from .operators import sampling as S
 from .operators import tables as B
 from .operators import toc as T
-from .queries import BASE, ORACLES, QUERIES, both
+from .operators.providers import Echo
+from .queries import _LANGUAGE, BARE, BASE, ORACLES, QUERIES, bare, both
 
 P = C.pairs
 
@@ -193,3 +200,34 @@ both(
 g AS (SELECT stratum, count(*) AS n_checked, count(*) FILTER (passed) AS n_passed, CAST(count(*) FILTER (passed) AS DOUBLE) / count(*) AS rate, CAST(count(*) AS DOUBLE) AS n FROM s GROUP BY stratum)
 SELECT stratum, n_checked, n_passed, rate, (rate + 1.92080 / n - sqrt(rate * (1 - rate) / n + 0.96040 / (n * n)) * 1.96e0) / (1 + 3.84160 / n) AS low, (rate + 1.92080 / n + sqrt(rate * (1 - rate) / n + 0.96040 / (n * n)) * 1.96e0) / (1 + 3.84160 / n) AS high FROM g""",
 )(lambda o, t: S.success(_checked(o, t), F.col("passed")))
+
+
+# --- notes with content ---
+_BLOCK = f"'(?m)^(?:{N.NOTED})'"
+_FIRST = r"list_transform(string_split(regexp_extract(c, '^\|([^\n]*)\|\n', 1), '|'), lambda z: trim(z, ' '))"
+both(
+    "described_notes",
+    rf""", parts AS (SELECT file_name, string_split_regex(content, {_BLOCK}) AS ps, regexp_extract_all(content, {_BLOCK}) AS cs FROM bare)
+SELECT file_name, len(cs) AS n_notes, md5(array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(list_transform([cs[i]], lambda c: CASE WHEN starts_with(c, '```')
+  THEN c || chr(10) || '> 【代码说明】' || CASE WHEN regexp_extract(c, '^```([A-Za-z0-9+#-]*)', 1) <> '' THEN regexp_extract(c, '^```([A-Za-z0-9+#-]*)', 1) ELSE {_LANGUAGE("c")} END || '，' || greatest(0, len(string_split(c, chr(10))) - 2) || ' 行'
+  ELSE c || '> 【表格说明】' || len({_FIRST}) || ' 列，' || greatest(0, len(string_split(c, chr(10))) - 2 - len(regexp_extract_all(c, '(?m)^\|[-:| \t]+\|$'))) || ' 行：' || array_to_string({_FIRST}, '、') || chr(10) END)[1], '')), '')) AS text_md5 FROM parts""",
+    BARE,
+)(lambda o, t: bare(o).select("file_name", F.size(F.regexp_extract_all("content", F.lit(f"(?dm)^(?:{N.NOTED})"), F.lit(0))).cast("long").alias("n_notes"), F.md5(N.describe_notes(F.col("content"))).alias("text_md5")))
+
+
+# --- answers that are kept ---
+def _store(spark: SparkSession) -> str:
+    """A new store in the folder that the cluster shares; without one, as in tests, a temporary folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="answers-")
+    return f"{shared.rstrip('/')}/answers-{uuid.uuid4().hex}"
+
+
+def _translated_lines(read) -> DataFrame:
+    rows = T.lines(_DOCS(read)).where("trim(line) <> ''")
+    return K.ask_kept(rows, "line", Echo(), "echo-1", _store(rows.sparkSession)).select("id", "place", F.md5("answer").alias("answer_md5"), "answered")
+
+
+tables("kept_translations", "SELECT doc_id AS id, CAST(i AS INT) AS place, md5('[zh] ' || ls[i]) AS answer_md5, true AS answered FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(ls[i], ' ') <> ''")(_translated_lines)
+tables("found_categories", r"""WITH hits AS (SELECT unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9+#.-]*[A-Za-z0-9+#])[ \t]+((?i:license|class|interface|model|library|framework|language|protocol|algorithm|database|server))\b', 1)) AS term, lower(unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9+#.-]*[A-Za-z0-9+#])[ \t]+((?i:license|class|interface|model|library|framework|language|protocol|algorithm|database|server))\b', 2))) AS noun FROM documents),
+votes AS (SELECT term, CASE noun WHEN 'library' THEN 'framework' WHEN 'algorithm' THEN 'model' WHEN 'database' THEN 'system' WHEN 'server' THEN 'system' WHEN 'interface' THEN 'class' ELSE noun END AS category, count(*) AS votes FROM hits GROUP BY 1, 2)
+SELECT term, category, votes, CAST(sum(votes) OVER (PARTITION BY term) AS BIGINT) AS total FROM votes QUALIFY row_number() OVER (PARTITION BY term ORDER BY votes DESC, category) = 1""")(lambda read: Y.categorised(_DOCS(read)))

@@ -352,3 +352,16 @@ write_named(rows, {str(tmp_path / "out")!r})
     subprocess.run([sys.executable, "-c", code], check=True, timeout=240, capture_output=True)
     assert os.path.exists(tmp_path / "mark")
     assert sorted(os.listdir(tmp_path / "out")) == sorted(f"{k}.md" for k in range(20))
+
+
+def test_long_tables_and_code_do_not_nest_calls(spark):
+    from quirelight.operators import listening
+
+    table = "| a | b |\n|---|---|\n" + "| x | y |\n" * 50_000
+    code = "int a;\n" * 50_000
+    df = rows_of(spark, [("t", "before\n" + table + "after"), ("c", "text\n" + code + "end"), ("s", "```\nint a;\n```\n| h |\n|---|\n"), ("n", None)])
+    got = {r["id"]: r for r in df.select("id", listening.describe_notes(F.col("text")).alias("d"), listening.add_notes(F.col("text")).alias("a"), listening.fence_code(F.col("text")).alias("f")).collect()}
+    assert got["t"]["d"].endswith("> 【表格说明】2 列，50000 行：a、b\nafter") and got["t"]["a"].count("【表格说明】") == 1
+    assert got["c"]["f"].count("```") == 2 and "```java" in got["c"]["f"]
+    assert got["s"]["d"] == "```\nint a;\n```\n> 【代码说明】java，1 行\n| h |\n|---|\n> 【表格说明】1 列，0 行：h\n"
+    assert got["n"]["d"] is None
