@@ -27,6 +27,14 @@ def hidden(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str
     return docs.withColumnsRenamed(clash), {v: k for k, v in clash.items()}
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled rows; lang becomes the predicted one.
 
@@ -45,14 +53,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat a doc_id are one document: of the kept id's rows one stays, of different texts the one with the smallest MD5.
     Rows without a doc_id belong to no component and stay.
     """
+    cls = free(docs, "text_class")
     found = ngram_jaccard_join(docs, width=5, percent=75).where("doc_id = component_id")
-    kept = found.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("text_class").alias("__class"))
+    kept = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_class").alias(cls))
     kept = stage.written(spark, kept, "kept")
-    once = docs.join(kept.where("__rows = 1"), "doc_id", "left_semi")
+    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
     # a repeated id: its rows with the chosen text, of which any stands for the others
     text = F.md5(folded(F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("__class", text).join(kept.where("__rows > 1"), ["doc_id", "__class"])
-    several = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    rows = docs.withColumn(cls, text).join(kept.where("rows > 1").select("doc_id", cls), ["doc_id", cls], "left_semi")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    several = rows.groupBy("doc_id").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row")).select("row.*")
     return once.select(*docs.columns).unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
@@ -64,7 +74,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens meet the target marginals of source, language and topic."""
+    """Documents sampled so that tokens meet the target marginals of source, language and topic.
+
+    The draw goes by doc_id: rows without one, which the stages before keep, cannot be drawn and go here.
+    """
     rows, back = hidden(docs, MIXED)
     return mix(rows, budget=BUDGET).where("kept").drop(*MIXED).withColumnsRenamed(back).select(*docs.columns)
 

@@ -261,7 +261,7 @@ def test_pipeline(spark, tmp_path):
 def test_awkward_tables_pass_all_stages(spark, tmp_path):
     """Empty tables, rows without an id, repeated ids and columns that are named as the operators' own."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = ["score", "spans", "Sanitised", "weight", "probability", "kept", "topic", "n_tokens", "lang_pred", "text_class", "component_id", "cls"]
+    names = ["score", "rows", "__rows", "__class", "spans", "Sanitised", "weight", "probability", "kept", "topic", "n_tokens", "lang_pred", "text_class", "component_id", "cls"]
     wide = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
     long = docs.orderBy(F.desc("n_chars")).limit(1).first()
     clean = wide.where(F.col("doc_id") == long["doc_id"])
@@ -272,8 +272,10 @@ def test_awkward_tables_pass_all_stages(spark, tmp_path):
             assert out.columns == table.columns, name
             out.write.parquet(f"{tmp_path}/{k}-{name}")
             docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
-            assert docs.where("doc_id is not null").where("score <> concat('score', doc_id) or kept <> concat('kept', doc_id) or spans <> concat('spans', doc_id)").isEmpty()
+            assert docs.where("doc_id is not null").where("score <> concat('score', doc_id) or kept <> concat('kept', doc_id) or spans <> concat('spans', doc_id) or `__class` <> concat('__class', doc_id)").isEmpty()
             if k == 0 and name == "near_duplicates":
                 assert docs.where("doc_id is null").count() == 1 and docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
         rows = P.packing(spark, docs, str(tmp_path))
         assert rows.isEmpty() == (k == 1)
+        # rows without an id go where documents are drawn by it, and nowhere before
+        assert docs.where("doc_id is null").isEmpty()
