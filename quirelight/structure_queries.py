@@ -22,7 +22,8 @@ from .operators import sampling as S
 from .operators import tables as B
 from .operators import toc as T
 from .operators.providers import Echo
-from .queries import _LANGUAGE, BARE, BASE, ORACLES, QUERIES, bare, both
+from .plans import verification as V
+from .queries import _LANGUAGE, BARE, BASE, ORACLES, QUERIES, bare, both, checks_sql
 
 P = C.pairs
 
@@ -59,7 +60,7 @@ back AS (SELECT key, len(o) AS i, len(t) AS j, 0 AS k, 0 AS x, 0 AS y FROM sized
 taken AS (SELECT b.key, CAST(row_number() OVER (PARTITION BY b.key ORDER BY k DESC) AS INT) AS step, i, j, x, y, os, ts, o[i + 1] AS a, t[j + 1] AS b, o[i + 1 : i + x] AS oo, t[j + 1 : j + y] AS tt FROM back b JOIN sized z ON z.key = b.key WHERE k > 0),
 judged AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN {A.deviation("list_sum(list_transform(oo, lambda z: z.size))", "list_sum(list_transform(tt, lambda z: z.size))")} END AS deviation FROM taken),
 named AS (SELECT *, {A.difference("x", "y", "a", "b", "deviation")} AS difference FROM judged),
-aligned AS (SELECT key, step, i + 1 AS o_from, x AS o_blocks, j + 1 AS t_from, y AS t_blocks, CASE WHEN x > 0 THEN a.kind END AS kind, CASE WHEN y > 0 THEN b.kind END AS t_kind, deviation, difference, {A.expected("difference", "CASE WHEN y > 0 THEN b.kind END")} AS expected FROM named)"""
+aligned AS MATERIALIZED (SELECT key, step, i + 1 AS o_from, x AS o_blocks, j + 1 AS t_from, y AS t_blocks, CASE WHEN x > 0 THEN a.kind END AS kind, CASE WHEN y > 0 THEN b.kind END AS t_kind, deviation, difference, {A.expected("difference", "CASE WHEN y > 0 THEN b.kind END")} AS expected FROM named)"""
 )
 both("edition_alignment", "SELECT key, step, CAST(o_from AS INT) AS o_from, CAST(o_blocks AS INT) AS o_blocks, CAST(t_from AS INT) AS t_from, CAST(t_blocks AS INT) AS t_blocks, kind, t_kind, deviation, difference, expected FROM aligned", ALIGNED)(lambda o, t: A.aligned(P(o, t)))
 both("edition_differences", "SELECT coalesce(kind, t_kind) AS kind, difference, expected, count(*) AS n_steps, count(DISTINCT key) AS n_chapters FROM aligned GROUP BY ALL", ALIGNED)(lambda o, t: A.summary(P(o, t)))
@@ -231,3 +232,25 @@ tables("kept_translations", "SELECT doc_id AS id, CAST(i AS INT) AS place, md5('
 tables("found_categories", r"""WITH hits AS (SELECT unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9+#.-]*[A-Za-z0-9+#])[ \t]+((?i:license|class|interface|model|library|framework|language|protocol|algorithm|database|server))\b', 1)) AS term, lower(unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9+#.-]*[A-Za-z0-9+#])[ \t]+((?i:license|class|interface|model|library|framework|language|protocol|algorithm|database|server))\b', 2))) AS noun FROM documents),
 votes AS (SELECT term, CASE noun WHEN 'library' THEN 'framework' WHEN 'algorithm' THEN 'model' WHEN 'database' THEN 'system' WHEN 'server' THEN 'system' WHEN 'interface' THEN 'class' ELSE noun END AS category, count(*) AS votes FROM hits GROUP BY 1, 2)
 SELECT term, category, votes, CAST(sum(votes) OVER (PARTITION BY term) AS BIGINT) AS total FROM votes QUALIFY row_number() OVER (PARTITION BY term ORDER BY votes DESC, category) = 1""")(lambda read: Y.categorised(_DOCS(read)))
+
+
+# --- the report by its template ---
+both(
+    "verification_template",
+    checks_sql("pairs", "c") + f",\ndr AS (SELECT * FROM pairs QUALIFY row_number() OVER (ORDER BY md5(key), key) <= {V.CHAPTERS})" + checks_sql("dr", "v") + rf""", rows AS (SELECT 'o/' || file_name AS id, content AS text FROM o UNION ALL SELECT 't/' || file_name, content FROM translated_chapters WHERE NOT starts_with(file_name, '00_') AND NOT contains(file_name, '_report')), {_MARKED}, {_TREE},
+st AS (SELECT (SELECT count(*) FROM o) AS oc, (SELECT count(*) FROM rows WHERE starts_with(id, 't/')) AS tc, (SELECT coalesce(sum(len(regexp_extract_all(text, '!\[.*?\]\(.*?\)'))), 0) FROM rows WHERE starts_with(id, 'o/')) AS oi, (SELECT coalesce(sum(len(regexp_extract_all(text, '!\[.*?\]\(.*?\)'))), 0) FROM rows WHERE starts_with(id, 't/')) AS ti,
+  (SELECT coalesce(max(depth), 0) FROM tree WHERE starts_with(id, 'o/')) AS od, (SELECT coalesce(max(depth), 0) FROM tree WHERE starts_with(id, 't/')) AS td),
+im AS (SELECT count(*) AS n, count(*) FILTER (difference = 'same') AS w0, count(*) FILTER (difference = 'recognised') AS w1, count(*) FILTER (difference = 'image') AS w2, count(*) FILTER (difference = 'kind') AS w3, count(*) FILTER (difference = 'missing') AS w4 FROM aligned WHERE kind = 'image'),
+cd AS (SELECT count(*) AS n, count(*) FILTER (status = 'PASS') AS good FROM (SELECT * FROM c4 QUALIFY row_number() OVER (ORDER BY md5(file_name || '#' || pos), file_name || '#' || pos) <= {V.BLOCKS})),
+pr AS (SELECT coalesce(kind, t_kind) AS kind, difference, count(*) AS n_steps, count(DISTINCT key) AS n_chapters, row_number() OVER (ORDER BY count(*) DESC, coalesce(kind, t_kind), difference) AS ord FROM aligned WHERE NOT expected GROUP BY 1, 2)
+SELECT 0 AS part, 0 AS ord, '| 章节数 | ' || oc || ' | ' || tc || ' | ' || CASE WHEN oc = tc THEN '✅' ELSE '❌' END || ' |' AS line FROM st UNION ALL SELECT 0, 1, '| 图片数 | ' || oi || ' | ' || ti || ' | ' || CASE WHEN oi = ti THEN '✅' ELSE '❌' END || ' |' FROM st UNION ALL SELECT 0, 2, '| 目录层级 | ' || od || ' | ' || td || ' | ' || CASE WHEN od = td THEN '✅' ELSE '❌' END || ' |' FROM st
+UNION ALL SELECT 1, 0, '| 图片 | ' || w0 || ' | 保留 | ' || CASE WHEN n > 0 THEN CAST(round(100.0e0 * w0 / n) AS BIGINT) || '%' ELSE '-' END || ' |' FROM im
+UNION ALL SELECT 1, 1, '| 图片 | ' || w1 || ' | OCR | ' || CASE WHEN n > 0 THEN CAST(round(100.0e0 * w1 / n) AS BIGINT) || '%' ELSE '-' END || ' |' FROM im
+UNION ALL SELECT 1, 2, '| 图片 | ' || w2 || ' | 替换 | ' || CASE WHEN n > 0 THEN CAST(round(100.0e0 * w2 / n) AS BIGINT) || '%' ELSE '-' END || ' |' FROM im
+UNION ALL SELECT 1, 3, '| 图片 | ' || w3 || ' | 其他 | ' || CASE WHEN n > 0 THEN CAST(round(100.0e0 * w3 / n) AS BIGINT) || '%' ELSE '-' END || ' |' FROM im
+UNION ALL SELECT 1, 4, '| 图片 | ' || w4 || ' | 缺失 | ' || CASE WHEN n > 0 THEN CAST(round(100.0e0 * w4 / n) AS BIGINT) || '%' ELSE '-' END || ' |' FROM im
+UNION ALL SELECT 2, 0, '- 抽样数量: ' || n FROM cd UNION ALL SELECT 2, 1, '- 准确数量: ' || good FROM cd UNION ALL SELECT 2, 2, '- 准确率: ' || CASE WHEN n > 0 THEN CAST(round(100.0e0 * good / n) AS BIGINT) || '%' ELSE '-' END FROM cd
+UNION ALL SELECT 3, 0, '- 抽样章节: ' || count(*) FROM dr UNION ALL SELECT 3, 1, '- 技术术语保留: ' || CASE WHEN count(*) = 0 THEN '✅' ELSE '❌' END FROM v2 WHERE status = 'FAIL'
+UNION ALL SELECT 4, CAST(ord AS INT), ord || '. ' || kind || ' ' || difference || '：' || n_steps || ' 处，' || n_chapters || ' 章' FROM pr""",
+    ALIGNED,
+)(V.template_lines)
