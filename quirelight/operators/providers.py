@@ -41,7 +41,10 @@ class ChatEndpoint:
         return [self._one(x) for x in requests]
 
     def _one(self, text: str) -> str:
-        body = {"model": self.model, "messages": [{"role": "system", "content": self.prompt}, {"role": "user", "content": text}]}
+        # an image travels as the server's interface wants it, beside what is asked of it
+        image = text.startswith("data:image/")
+        content = [{"type": "image_url", "image_url": {"url": text}}] if image else text
+        body = {"model": self.model, "messages": [{"role": "system", "content": self.prompt}, {"role": "user", "content": content}]}
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
         call = urllib.request.Request(f"{self.base_url}/chat/completions", json.dumps(body).encode(), head)
         with urllib.request.urlopen(call, timeout=self.timeout) as answer:
@@ -84,7 +87,37 @@ def translate(paragraphs: DataFrame, provider: Provider, route: Column, terms: l
     return rows.select(*paragraphs.columns, F.coalesce(back, F.col("text")).alias("translated"))
 
 
+def image_request(images: DataFrame) -> Column:
+    """What is sent of an image: its bytes as a data address if there is a column data that is not empty, else its name."""
+    if "data" not in images.columns:
+        return F.col("name")
+    kind = F.lower(F.regexp_extract("name", r"[.]([A-Za-z0-9]+)$", 1))
+    kind = F.when(kind.isin("", "jpg"), "jpeg").otherwise(kind)
+    return F.when(F.length("data") > 0, F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64("data"))).otherwise(F.col("name"))
+
+
 def classify_images(images: DataFrame, provider: Provider) -> DataFrame:
-    """images (name and any columns) with image_class; an answer that is no class counts as OTHER."""
-    rows = ask(images, "name", provider, "__got")
-    return rows.select(*images.columns, F.when(F.col("__got").isin(*IMAGE_CLASSES), F.col("__got")).otherwise("OTHER").alias("image_class"))
+    """images (name, data if the provider is to see them, and any columns) with image_class; an answer that is no class counts as OTHER."""
+    rows = ask(images.withColumn("__asked", image_request(images)), "__asked", provider, "__got")
+    answer = F.upper(F.trim("__got"))
+    return rows.select(*images.columns, F.when(F.col("answered") & answer.isin(*IMAGE_CLASSES), answer).otherwise("OTHER").alias("image_class"))
+
+
+#: What a provider says of an image, as JSON.
+DESCRIPTION = "kind string, conclusion string, elements string, points array<string>"
+
+
+def describe_images(images: DataFrame, provider: Provider) -> DataFrame:
+    """images with note, the description by its template (see image_description); null where the provider failed or its answer is no such JSON.
+
+    Columns of images that are named as a part of the description or as the note are left out.
+    """
+    rows = ask(images.withColumn("__asked", image_request(images)), "__asked", provider, "__got")
+    said = F.from_json("__got", DESCRIPTION)
+    rows = rows.withColumn("__said", F.when(F.col("answered"), said))
+    parts = rows.withColumns({c: F.coalesce(F.col(f"__said.{c}"), F.lit("")) for c in ("kind", "conclusion", "elements")})
+    # points go to the template between semicolons
+    parts = parts.withColumn("points", F.array_join(F.transform("__said.points", lambda x: F.replace(x, F.lit(";"), F.lit("；"))), ";"))
+    whole = F.col("__said.kind").isNotNull() & F.col("__said.points").isNotNull()
+    note = F.when(whole, E.image_description()).alias("note")
+    return parts.select(*(c for c in images.columns if c not in ("note", "kind", "conclusion", "elements", "points")), note)

@@ -365,3 +365,48 @@ def test_long_tables_and_code_do_not_nest_calls(spark):
     assert got["c"]["f"].count("```") == 2 and "```java" in got["c"]["f"]
     assert got["s"]["d"] == "```\nint a;\n```\n> 【代码说明】java，1 行\n| h |\n|---|\n> 【表格说明】1 列，0 行：h\n"
     assert got["n"]["d"] is None
+
+
+# --- images and providers -----------------------------------------------------------------------------------------------------------------
+
+
+def test_images_reach_the_provider(spark):
+    import json
+
+    from quirelight.operators import providers
+
+    def see(requests):
+        import base64
+
+        out = []
+        for x in requests:
+            seen = base64.b64decode(x.split(",", 1)[1]).decode() if x.startswith("data:image/") else x
+            out.append("code_screenshot" if "code" in seen else "chart" if x.startswith("data:image/jpeg") else "what?")
+        return out
+
+    rows = spark.createDataFrame([("a.png", bytearray(b"code"), 1), ("b.jpg", bytearray(b"bars"), 2), ("c.gif", None, 3), ("code.gif", bytearray(b""), 4)], "name string, data binary, size int")
+    got = {r["name"]: r["image_class"] for r in providers.classify_images(rows, see).collect()}
+    assert got == {"a.png": "CODE_SCREENSHOT", "b.jpg": "CHART", "c.gif": "OTHER", "code.gif": "CODE_SCREENSHOT"}
+
+    def tell(requests):
+        return [json.dumps({"kind": "line chart", "conclusion": "it grows", "elements": "axes", "points": ["up; up", "b"]}) if x.startswith("data:") else "no json" for x in requests]
+
+    notes = {r["name"]: r["note"] for r in providers.describe_images(rows, tell).collect()}
+    assert notes["a.png"] == "> **图片说明**：This is a line chart.\n> 核心结论是：it grows\n> 关键元素包括：axes\n> 要点总结：\n> - 第一，up； up\n> - 第二，b"
+    assert notes["c.gif"] is None and notes["code.gif"] is None
+
+    def broken(requests):
+        raise RuntimeError
+
+    assert {r["note"] for r in providers.describe_images(rows, broken).collect()} == {None}
+    assert {r["image_class"] for r in providers.classify_images(rows, broken).collect()} == {"OTHER"}
+
+
+def test_template_report(spark):
+    from quirelight.fixtures import editions
+    from quirelight.plans.verification import template_report
+
+    text = template_report(*editions(spark, "/root/testdata/sf0.001"), "验证报告", "2026-03-24")
+    heads = [line for line in text.split("\n") if line.startswith("#")]
+    assert heads == ["# 验证报告", "## 验证时间", "## 结构完整性", "## 图片处理统计", "## OCR 准确性", "## 翻译质量", "## 异常问题列表"]
+    assert "| 目录层级 | 1 | 1 | ✅ |" in text and re.search(r"- 抽样数量: 10\n- 准确数量: \d+\n- 准确率: \d+%", text) and "- 抽样章节: 3" in text
