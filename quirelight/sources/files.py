@@ -145,9 +145,9 @@ def write_chapters(chapters: DataFrame, folder: str) -> None:
 
 
 def write_cover(picked: DataFrame, path: str) -> bool:
-    """The one cover of a book to a file; whether there was one."""
-    row = picked.where("cover is not null").select("cover").first()
-    if row is not None:
-        with open(path, "wb") as f:
-            f.write(row["cover"])
-    return row is not None
+    """The one cover of a book to a file, by a task that commits it (see named_files); whether there was one. Of several, that of the first archive."""
+    rows = picked.where("cover is not null").orderBy("archive", "ord").limit(1)
+    found = not rows.isEmpty()
+    if found:
+        write_named(rows.select(F.lit(posixpath.basename(path)).alias("name"), F.col("cover").alias("content")), posixpath.dirname(path) or ".")
+    return found
