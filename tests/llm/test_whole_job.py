@@ -140,3 +140,24 @@ def test_many_entities_in_one_text_take_linear_time(spark):
     kinds = [s["kind"] for s in out[1]["spans"]]
     assert kinds.count("email") == 16_000 and kinds.count("phone") == 16_000 and "@" not in out[1]["sanitised"]
     assert out[1].asDict().keys() == {"doc_id", "text", "spans", "sanitised", "note"}
+
+
+def test_spread_join_above_and_below_its_share(spark):
+    """A key of a third of all rows is broadcast, 300 small ones are not; together the join is whole."""
+    from pyspark.sql import functions as F
+
+    from quirelight.llm.blocks import of_members
+    from quirelight.llm.skew import SHARES, spread_join
+
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 301).alias("key"), "id")
+    table = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("name", F.concat(F.lit("k"), "key")).where("key <> 7")
+    often = table.where(F.col("n") * SHARES > 9000)
+    assert often.count() == 1 and table.count() > SHARES
+    got = spread_join(rows, table, "key", "n")
+    want = rows.join(table, "key")
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and want.select(got.columns).exceptAll(got).isEmpty()
+    assert spread_join(rows.limit(0), table.limit(0), "key", "n").isEmpty()
+    members = rows.select(F.col("id").alias("doc_id"), F.col("key").cast("string").alias("cls"))
+    classes = table.select(F.col("key").cast("string").alias("cls"), "name")
+    out = of_members(spark, members, classes)
+    assert out.columns == ["cls", "doc_id", "name"] and out.count() == want.count()
