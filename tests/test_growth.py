@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quirelight.operators import dictionary
+from quirelight.functions.lexicon import TERMS
+from quirelight.operators import dictionary, listening, paragraphs
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +24,18 @@ def test_dictionary_searches_each_different_word_once(spark, monkeypatch, few):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = dictionary.terms_in(rows, spark.createDataFrame([(t,) for t in terms], "term string"))
     assert sorted((r["id"], r["term"]) for r in got.collect()) == sorted((i, t) for i, x in enumerate(texts) for t in terms if x and t and t in x)
-    # grams are those of the different words, and no text is moved to verify terms of one word
-    plan = plan_of(dictionary.terms_in(rows, spark.createDataFrame([("needle",)], "term string")))
-    assert "contains(text" not in plan and "extract_all(text, (?s)(?=" not in plan
+    # no text is moved to verify terms of one word
+    assert "Contains(text" not in plan_of(dictionary.terms_in(rows, spark.createDataFrame([("needle",)], "term string")))
+
+
+def test_terms_of_a_paragraph_are_looked_for_once(spark):
+    plan = plan_of(entry.queries()["route_paragraphs"](spark, SF))
+    assert 0 < plan.count("Contains(line") < len(TERMS)
+
+
+def test_ratio_and_tokens_of_odd_texts(spark):
+    texts = ["", " \t\u3000\n", "日本語", "ab 日本 c", "x", "\u00a0é日\u2003", "𠀀日"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", paragraphs._ratio(F.col("text")).alias("ratio"), paragraphs.tokens(F.col("text")).alias("tokens"))
+    wide = lambda t: sum("\u4e00" <= c <= "\u9fff" for c in t)
+    shown = lambda t: len("".join(t.split()))
+    assert [(r["ratio"], r["tokens"]) for r in rows.collect()] == [(wide(t) / shown(t) if shown(t) else 0.0, wide(t) + -(-(len(t) - wide(t)) // 3)) for t in texts]
