@@ -25,7 +25,9 @@ def headings(rows: DataFrame) -> DataFrame:
     fences = F.coalesce(F.count_if(F.startswith("line", F.lit("```"))).over(along), F.lit(0))
     level = F.length(F.regexp_extract("line", r"^(#{1,6})[ \t]+[^ \t\r#]", 1))
     title = F.regexp_replace(F.regexp_replace("line", r"^#{1,6}[ \t]+", ""), r"[ \t#\r]+$", "")
-    return lines(rows).withColumn("fences", fences).withColumn("level", level).where("level > 0 and fences % 2 = 0").select("id", "place", "level", title.alias("title"))
+    # only lines that begin as headings or fences matter, and only these are moved
+    marked = lines(rows).where(F.startswith("line", F.lit("#")) | F.startswith("line", F.lit("```")))
+    return marked.withColumn("fences", fences).withColumn("level", level).where("level > 0 and fences % 2 = 0").select("id", "place", "level", title.alias("title"))
 
 
 def plain_headings(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,16 +40,6 @@ def structure_lines(original: DataFrame, translated: DataFrame) -> DataFrame:
     return structure(original, translated).select(F.lit(0).alias("part"), F.inline(F.array(*(line(k, *r) for k, r in enumerate(rows)))))
 
 
-def image_lines(paired: DataFrame) -> DataFrame:
-    """What became of the original's images: kept, recognised as code, replaced by another, of another kind, or missing, each with its share."""
-    ways = [("same", "保留"), ("recognised", "OCR"), ("image", "替换"), ("kind", "其他"), ("missing", "缺失")]
-    found = A.aligned(paired).where("kind = 'image'")
-    counts = found.agg(F.count("*").alias("n"), *(F.count_if(F.col("difference") == c).alias(c) for c, _ in ways))
-    share = lambda c: F.when(F.col("n") > 0, F.concat(F.round(100 * F.col(c) / F.col("n")).cast("long").cast("string"), F.lit("%"))).otherwise("-")
-    line = lambda k, c, way: F.struct(F.lit(k).alias("ord"), F.concat(F.format_string(f"| 图片 | %d | {way} | ", c), share(c), F.lit(" |")).alias("line"))
-    return counts.select(F.lit(1).alias("part"), F.inline(F.array(*(line(k, *w) for k, w in enumerate(ways)))))
-
-
 def code_lines(paired: DataFrame) -> DataFrame:
     """A sample of code blocks of all chapters, and how many are the same in both editions."""
     rows = K.code_block_pairs(paired).withColumn("name", F.concat_ws("#", "file_name", "pos"))
@@ -69,17 +59,29 @@ def translation_lines(paired: DataFrame) -> DataFrame:
     return rows.select(F.lit(3).alias("part"), F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), x.alias("line")) for k, x in enumerate(lines)))))
 
 
-def problem_lines(paired: DataFrame) -> DataFrame:
-    """Differences that are not expected, by kind of block and class, the most frequent first."""
-    found = A.summary(paired).where("not expected")
-    place = F.row_number().over(Window.orderBy(F.desc("n_steps"), "kind", "difference"))  # a few rows
-    return found.withColumn("ord", place).select(F.lit(4).alias("part"), "ord", F.concat(F.col("ord").cast("string"), F.format_string(". %s %s：%d 处，%d 章", "kind", "difference", "n_steps", "n_chapters")).alias("line"))
+def difference_lines(paired: DataFrame) -> DataFrame:
+    """What became of the original's images: kept, recognised as code, replaced by another, of another kind, or missing, each with its share.
+
+    And the differences that are not expected, by kind of block and class, the most frequent first. Both come from one alignment: its summary has a row for
+    each kind and class and becomes one row.
+    """
+    ways = [("same", "保留"), ("recognised", "OCR"), ("image", "替换"), ("kind", "其他"), ("missing", "缺失")]
+    rows = A.summary(paired).withColumn("image", F.col("kind") == "image")
+    counted = lambda c: F.coalesce(F.sum(F.when(F.col("image") & c, F.col("n_steps"))), F.lit(0))
+    problem = F.struct((-F.col("n_steps")).alias("order"), "kind", "difference", "n_steps", "n_chapters")
+    # an image that was added is none of the original's
+    one = rows.agg(counted(F.col("difference") != "added").alias("n"), *(counted(F.col("difference") == c).alias(c) for c, _ in ways), F.array_sort(F.collect_list(F.when(~F.col("expected"), problem))).alias("problems"))
+    share = lambda c: F.when(F.col("n") > 0, F.concat(F.round(100 * F.col(c) / F.col("n")).cast("long").cast("string"), F.lit("%"))).otherwise("-")
+    row = lambda part, k, line: F.struct(F.lit(part).alias("part"), k.cast("int").alias("ord"), line.alias("line"))
+    images = F.array(*(row(1, F.lit(k), F.concat(F.format_string(f"| 图片 | %d | {way} | ", c), share(c), F.lit(" |"))) for k, (c, way) in enumerate(ways)))
+    told = lambda x, k: row(4, k + 1, F.concat((k + 1).cast("string"), F.format_string(". %s %s：%d 处，%d 章", x["kind"], x["difference"], x["n_steps"], x["n_chapters"])))
+    return one.select(F.inline(F.concat(images, F.transform("problems", told))))
 
 
 def template_lines(original: DataFrame, translated: DataFrame) -> DataFrame:
     """part, ord, line of the report's five sections, to be joined in that order under their headings."""
     paired = C.pairs(original, translated)
-    return reduce(DataFrame.unionByName, [structure_lines(original, translated), image_lines(paired), code_lines(paired), translation_lines(paired), problem_lines(paired)])
+    return reduce(DataFrame.unionByName, [structure_lines(original, translated), difference_lines(paired), code_lines(paired), translation_lines(paired)])
 
 
 #: Headings of the sections and heads of their tables.

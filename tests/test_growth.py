@@ -39,3 +39,9 @@ def test_ratio_and_tokens_of_odd_texts(spark):
     wide = lambda t: sum("\u4e00" <= c <= "\u9fff" for c in t)
     shown = lambda t: len("".join(t.split()))
     assert [(r["ratio"], r["tokens"]) for r in rows.collect()] == [(wide(t) / shown(t) if shown(t) else 0.0, wide(t) + -(-(len(t) - wide(t)) // 3)) for t in texts]
+
+
+def test_the_report_aligns_both_editions_once(spark):
+    plan = plan_of(entry.queries()["verification_template"](spark, SF))
+    # one fold of the costs and one back along the steps
+    assert plan.count("aggregate(sequence(1") == 2
