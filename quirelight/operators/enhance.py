@@ -76,9 +76,12 @@ def unmask_terms(text: Column, terms: list[str]) -> Column:
     return text
 
 
+END_MARKS = "。！？；.!?;"
+
+
 def sentences(text: Column) -> Column:
     """Sentences with their end marks, stripped, without empty ones."""
-    found = F.transform(X.every(text, r"[^。！？；.!?;]+[。！？；.!?;]*|[。！？；.!?;]+"), X.strip)
+    found = F.transform(X.every(text, f"[^{END_MARKS}]+[{END_MARKS}]*|[{END_MARKS}]+"), X.strip)
     return F.filter(found, lambda s: s != "")
 
 

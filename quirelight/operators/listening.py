@@ -57,7 +57,7 @@ def enhance_code(files: DataFrame) -> DataFrame:
 
 def run_counters(files: DataFrame) -> DataFrame:
     """What a run over all files does, summed."""
-    rows = enhance_code(files).select("code_blocks_wrapped", "keywords_highlighted", X.count(F.col("content"), X.MD_IMAGE).alias("images"), F.size(long_sentences(F.col("content"))).cast("long").alias("lines_read"))
+    rows = enhance_code(files).select("code_blocks_wrapped", "keywords_highlighted", X.count(F.col("content"), X.MD_IMAGE).alias("images"), lines_read(F.col("content")).alias("lines_read"))
     return rows.agg(F.count("*").alias("files"), *(F.sum(c).cast("long").alias(c) for c in ("code_blocks_wrapped", "keywords_highlighted", "images", "lines_read")))
 
 
@@ -67,6 +67,15 @@ def long_sentences(text: Column) -> Column:
     return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= LONG, F.array(x)).otherwise(E.sentences(x))))
 
 
+def lines_read(text: Column) -> Column:
+    """The number of long_sentences(): a stripped line has one for each run of end marks and one more if it ends without; they need not be made."""
+    marks = L(E.END_MARKS)
+    ended = lambda x: F.contains(marks, F.substring(x, -1, 1))
+    of_line = lambda x: F.when(F.length(x) <= LONG, 1).otherwise(X.count(x, f"[{E.END_MARKS}]+") + F.when(ended(x), 0).otherwise(1))
+    lines = F.filter(F.transform(F.split(text, "\n"), X.strip), lambda x: x != "")
+    return F.aggregate(lines, L(0).cast("long"), lambda n, x: n + of_line(x))
+
+
 def clean_format(text: Column) -> Column:
     """No white space before line ends, tabs at line starts as two spaces, - for items, a blank after the marks of headings, no more than one blank line, image paths of merged books, a last fence that is closed."""
     for pattern, new in ((r"(?dm)[ \t]+$", ""), (r"(?dm)^\t", "  "), (r"(?dm)^( *)[*+] ", "$1- "), (r"(?dm)^(#{1,6})([^#\s])", "$1 $2"), (r"\n{3,}", "\n\n")):

@@ -45,3 +45,12 @@ def test_the_report_aligns_both_editions_once(spark):
     plan = plan_of(entry.queries()["verification_template"](spark, SF))
     # one fold of the costs and one back along the steps
     assert plan.count("aggregate(sequence(1") == 2
+
+
+def test_lines_read_are_counted_without_being_made(spark):
+    long = "word " * 30
+    texts = ["", "short. two.\n\n  \n", long, long + ".", long + "。！" + long + "?! " + long, ". " * 60, "。" * 100, "x" * 80, "x" * 81 + ". ", "\u00a0\n" + long + " \u3000.\u3000\n" + long]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select(listening.lines_read(F.col("text")).alias("n"), F.size(listening.long_sentences(F.col("text"))).alias("made")).collect()
+    assert [r["n"] for r in got] == [r["made"] for r in got]
+    assert "flatten(" not in plan_of(entry.queries()["run_counters"](spark, SF))
