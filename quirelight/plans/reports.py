@@ -31,9 +31,12 @@ def issues_by_type_top(issues: DataFrame, n: int = 10) -> DataFrame:
 
 def chapter_issue_detail(issues: DataFrame, paired: DataFrame, n: int = 5) -> DataFrame:
     """Statistics, number of issues and the first n issues of each chapter that has any."""
-    total = issues.groupBy("chapter_num", "original_file").agg(F.count("*").alias("n_issues"))
-    shown = _first(issues, ["chapter_num", "original_file"], n).select("chapter_num", "original_file", "rank", "severity", "description")
-    return C.stats(paired).join(total, ["chapter_num", "original_file"]).join(shown, ["chapter_num", "original_file"]).drop("translated_file")
+    keys = ["chapter_num", "original_file"]
+    # numbers and issues come from one pass over the issues: they are found from the texts each time they are asked for
+    ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*ISSUE_ORDER))
+    total = F.count("*").over(Window.partitionBy(*keys))
+    shown = issues.withColumn("rank", ranked).withColumn("n_issues", total).where(F.col("rank") <= n).select(*keys, "n_issues", "rank", "severity", "description")
+    return C.stats(paired).join(shown, keys).drop("translated_file")
 
 
 def chapter_comparison(issues: DataFrame, paired: DataFrame) -> DataFrame:
@@ -94,8 +97,10 @@ def chapter_report_lines(issues: DataFrame, paired: DataFrame) -> DataFrame:
         F.format_string("- Issues: %d", "n_issues"),
     )
     keys = ["chapter_num", "original_file"]
-    heads = rows.where("rank = 1").select(*keys, F.posexplode(head).alias("c", "line"))
-    return heads.unionByName(rows.select(*keys, (F.col("rank") + 3).alias("c"), F.format_string("  - [%s] %s", "severity", "description").alias("line")))
+    # the first issue of a chapter brings the heading with it
+    own = F.array(F.struct((F.col("rank") + 3).alias("c"), F.format_string("  - [%s] %s", "severity", "description").alias("line")))
+    heads = F.transform(head, lambda x, k: F.struct(k.alias("c"), x.alias("line")))
+    return rows.select(*keys, F.inline(F.when(F.col("rank") == 1, F.concat(heads, own)).otherwise(own)))
 
 
 def verification_heading_lines(results: DataFrame) -> DataFrame:

@@ -54,3 +54,9 @@ def test_lines_read_are_counted_without_being_made(spark):
     got = rows.select(listening.lines_read(F.col("text")).alias("n"), F.size(listening.long_sentences(F.col("text"))).alias("made")).collect()
     assert [r["n"] for r in got] == [r["made"] for r in got]
     assert "flatten(" not in plan_of(entry.queries()["run_counters"](spark, SF))
+
+
+def test_issues_of_chapters_are_found_once(spark):
+    plan = plan_of(entry.queries()["chapter_report_lines"](spark, SF))
+    # statistics and issues, each of one pairing of both editions
+    assert plan.count("Relation [") == 4
