@@ -71,7 +71,7 @@ def _entities() -> str:
     return "concat(" + ", ".join(f"transform(__pii_{k}, s -> concat('{k}:', lower(s.value)))" for k, *_ in KINDS) + ")"
 
 
-def _base() -> str:
+def base_of() -> str:
     """SQL for all base spans of a row of base_spans(), by kind."""
     return "concat(" + ", ".join(f"transform(__pii_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'stop', s.stop, 'label', '[{k.upper()}]'))" for k, *_ in KINDS) + ")"
 
@@ -85,7 +85,7 @@ def likely(c: str, df: str) -> str:
 def disclosing_terms(found: DataFrame) -> DataFrame:
     """Of base_spans(): rows (cls, added) of texts whose MD5 is cls; added holds the places (start, stop, label) of the terms that disclose an entity of the text."""
     spark = found.sparkSession
-    held = found.select(F.md5("text").alias("cls"), "text", F.expr(f"array_distinct({_entities()})").alias("es"), F.expr(_base()).alias("base")).where(F.size("es") > 0)
+    held = found.select(F.md5("text").alias("cls"), "text", F.expr(f"array_distinct({_entities()})").alias("es"), F.expr(base_of()).alias("base")).where(F.size("es") > 0)
     # distinct texts that hold something, each once with its number of documents; the text travels only for those
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     once = held.groupBy("cls").agg(F.first("es").alias("es"), F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("docs")).select("cls", "es", "base", "text", words.alias("ws"), "docs")
@@ -152,7 +152,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rest = found.where(~holding).withColumn("__pii_added", F.lit(None).cast(hit.schema["__pii_added"].dataType))
     rows = found.where(holding).withColumn("__pii_cls", F.md5("text")).join(hit, "__pii_cls", "left").drop("__pii_cls").unionByName(rest)
     added = "transform(coalesce(__pii_added, cast(array() as array<struct<start: bigint, stop: bigint, label: string>>)), s -> named_struct('kind', 'term', 'start', s.start, 'stop', s.stop, 'label', s.label))"
-    rows = rows.withColumn("spans", F.expr(f"concat({_base()}, {added})"))
+    rows = rows.withColumn("spans", F.expr(f"concat({base_of()}, {added})"))
     # spans of different kinds may overlap: what is covered already is skipped
     rows = rows.withColumn("__pii_held", F.expr(f"case when size(spans) > 0 then {blocks('text')} end"))
     rows = rows.withColumn("sanitised", F.expr(f"case when size(spans) = 0 then text else {replaced('__pii_held', 'length(text)', 'spans', 'i.label')} end"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
@@ -17,7 +17,7 @@ from .licenses import BASE, scan_licenses
 from .mixing import mix
 from .ngram_join import ngram_jaccard_join
 from .packing import WordTokenizer, pack_documents
-from .pii import KINDS, joined, sanitise
+from .pii import KINDS, base_of, base_spans, joined, sanitise
 from .substring_dedup import substring_dedup
 from .topk_search import exact_top_k
 
@@ -88,16 +88,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, ["doc_id", "held_out"])
 
 
+def _base_columns(rows: DataFrame, *more: Column) -> DataFrame:
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k, *_ in KINDS]
+    return rows.select("doc_id", *counts, F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"), *more)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = out.withColumn("base", F.expr("filter(spans, s -> s.kind <> 'term')"))
-    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k, *_ in KINDS]
-    return out.select("doc_id", *counts, F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+    return _base_columns(out.withColumn("base", F.expr("filter(spans, s -> s.kind <> 'term')")), F.expr(joined("spans")).alias("spans"))
 
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base columns of op4_pii, which SQL can express."""
-    return op4_pii(spark, sf_dir).drop("spans")
+    """The base columns of op4_pii, which SQL can express: its scan alone, as terms need counts over all documents and base spans do not."""
+    return _base_columns(base_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(base_of()).alias("base")))
 
 
 def _kind_sql(kind: str, pattern: str, keep: str) -> str:

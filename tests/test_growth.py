@@ -60,3 +60,13 @@ def test_issues_of_chapters_are_found_once(spark):
     plan = plan_of(entry.queries()["chapter_report_lines"](spark, SF))
     # statistics and issues, each of one pairing of both editions
     assert plan.count("Relation [") == 4
+
+
+def test_base_columns_of_personal_data_are_those_of_the_operator_without_its_tables(spark):
+    from quirelight.llm import stage
+
+    queries, before = entry.queries(), len(stage._WRITTEN)
+    base = queries["pii_base"](spark, SF)
+    assert len(stage._WRITTEN) == before
+    whole = queries["op4_pii"](spark, SF).drop("spans")
+    assert base.schema == whole.schema and sorted(map(tuple, base.collect())) == sorted(map(tuple, whole.collect()))
