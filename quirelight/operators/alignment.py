@@ -87,12 +87,14 @@ def aligned(paired: DataFrame) -> DataFrame:
     none = "cast(null as array<int>)"
     first = "transform(sequence(0, size(t)), j -> if(j = 0, 0, cast(null as int)))"
     diagonal = f"transform(sequence(0, size(t)), j -> {_cell('s - j')})"
-    fold = f"aggregate(sequence(1, size(o) + size(t)), named_struct('d1', {first}, 'd2', {none}, 'd3', {none}, 'all', array({first})), (a, s) -> element_at(transform(array({diagonal}), d -> named_struct('d1', d, 'd2', a.d1, 'd3', a.d2, 'all', concat(a.all, array(d)))), 1), a -> a.all)"
+    # a diagonal joins the others one step late, by reference: a lambda's result would be copied, and with it all diagonals before it
+    fold = f"aggregate(sequence(1, size(o) + size(t)), named_struct('d1', {first}, 'd2', {none}, 'd3', {none}, 'all', cast(array() as array<array<int>>)), (a, s) -> named_struct('d1', {diagonal}, 'd2', a.d1, 'd3', a.d2, 'all', concat(a.all, array(a.d1))), a -> concat(a.all, array(a.d1)))"
     rows = rows.withColumn("table", F.expr(fold))
     # back from the last cell: the steps taken, last one first
     spans = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in STEPS) + ")"
     step = f"get({spans}, get(get(table, a.i + a.j), a.j) & 7)"
-    back = f"aggregate(sequence(1, size(o) + size(t)), named_struct('i', size(o), 'j', size(t), 'path', cast(array() as array<struct<i: int, j: int, x: int, y: int>>)), (a, s) -> if(a.i + a.j = 0, a, element_at(transform(array({step}), p -> named_struct('i', a.i - p.x, 'j', a.j - p.y, 'path', concat(a.path, array(named_struct('i', a.i - p.x, 'j', a.j - p.y, 'x', p.x, 'y', p.y))))), 1)), a -> reverse(a.path))"
+    at = f"named_struct('i', a.i - {step}.x, 'j', a.j - {step}.y, 'path', concat(a.path, array(named_struct('i', a.i - {step}.x, 'j', a.j - {step}.y, 'x', {step}.x, 'y', {step}.y))))"
+    back = f"aggregate(sequence(1, size(o) + size(t)), named_struct('i', size(o), 'j', size(t), 'path', cast(array() as array<struct<i: int, j: int, x: int, y: int>>)), (a, s) -> if(a.i + a.j = 0, a, {at}), a -> reverse(a.path))"
     rows = rows.select("key", "o", "t", "os", "ts", F.posexplode(F.expr(back)).alias("k", "p"))
     part = lambda side, at, n: f"slice({side}, p.{at} + 1, p.{n})"
     total = lambda side, at, n: f"aggregate({part(side, at, n)}, 0, (a, b) -> a + b.size)"
