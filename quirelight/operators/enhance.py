@@ -38,8 +38,14 @@ def merge_chapters(files: DataFrame) -> DataFrame:
 
 
 def chinese_ratio(text: Column) -> Column:
-    """Ideographs U+4E00 to U+9FFF over characters that are not white space (our decision)."""
-    return X.count(text, r"[\x{4E00}-\x{9FFF}]").cast("double") / X.count(text, X.NOT_WS)
+    """Ideographs U+4E00 to U+9FFF over characters that are not white space (our decision); NaN of a blank text, as 0 over 0 is in SQL.
+
+    Both are counted by what is left without the others: an array would hold a string for each letter.
+    """
+    wide = F.length(text) - F.length(F.regexp_replace(text, r"[\x{4E00}-\x{9FFF}]+", ""))
+    shown = F.length(F.regexp_replace(text, rf"{X.WS}+", ""))
+    # a plain division by zero ends the job in ANSI mode
+    return F.coalesce(F.try_divide(wide.cast("double"), shown), F.when(text.isNotNull(), L(float("nan"))))
 
 
 def term_density(text: Column, terms: list[str]) -> Column:

@@ -194,7 +194,7 @@ table("term_categories", "documents", f"WITH c(category, term) AS (VALUES {_valu
 _KINDS = lambda n, *names: "CASE " + " ".join(f"WHEN {n} % {len(names)} = {k} THEN '{x}'" for k, x in enumerate(names)) + " END"
 _NAME = f"concat({_KINDS('doc_id', 'fig', 'Cover', 'qrcode', 'photo', 'icon_', 'author', 'chart')}, doc_id, {_KINDS('length(text)', '.jpg', '.PNG', '.png', '.webp', '.svg', '.gif')}) AS name"
 _R, _D = rf"CAST(len(regexp_extract_all(text, '[\x{{4E00}}-\x{{9FFF}}]')) AS DOUBLE) / len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]'))", r"CAST((SELECT count(*) FROM terms WHERE contains(text, term)) AS DOUBLE) / greatest(1, len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{85}\p{Z}]+')))"
-derived("translation_route", "doc_id; text", f", terms(term) AS (VALUES {_values([(t,) for t in TERMS])}), rated AS (SELECT doc_id, {_R} AS ratio, {_D} AS density FROM input) SELECT doc_id, CASE WHEN ratio >= 0.3 OR density > 0.15 THEN 'skip' WHEN density > 0.05 AND ratio < 0.15 THEN 'translate_protected' ELSE 'translate' END AS route FROM rated")(lambda d: d.select("doc_id", E.route(E.chinese_ratio(F.col("text")), E.term_density(F.col("text"), TERMS)).alias("route")))
+derived("translation_route", "doc_id; text", f", terms(term) AS (VALUES {_values([(t,) for t in TERMS])}), rated AS (SELECT doc_id, {_R} AS ratio, {_D} AS density FROM input) SELECT doc_id, CASE WHEN ratio >= 0.3 OR density > 0.15 THEN 'skip' WHEN density > 0.05 AND ratio < 0.15 THEN 'translate_protected' ELSE 'translate' END AS route FROM rated")(lambda d: d.select("doc_id", E.chinese_ratio(F.col("text")).alias("ratio"), E.term_density(F.col("text"), TERMS).alias("density")).select("doc_id", E.route(F.col("ratio"), F.col("density")).alias("route")))
 derived("input_kind", f"concat('in', doc_id, {_KINDS('length(text)', '.epub', '.PDF', '.md', '.markdown', '', '.txt')}) AS name", "SELECT name, CASE WHEN lower(name) LIKE '%.epub' THEN 'epub' WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN lower(name) LIKE '%.md' OR lower(name) LIKE '%.markdown' THEN 'markdown' WHEN NOT contains(name, '.') THEN 'folder' ELSE 'unknown' END AS kind FROM input")(lambda d: d.select("name", E.input_kind(F.col("name")).alias("kind")))
 derived("cover_pick", f"concat(source, '-', lang, doc_id % 50) AS archive; doc_id AS ord; concat('OPS/', {_KINDS('length(text)', 'text', 'cover', 'Cover', 'content', 'page', 'back')}, doc_id, {_KINDS('doc_id', '.xhtml', '.JPG', '.opf', '.png', '.svg')}) AS name", "SELECT archive, ord, name, 'cover' AS kind FROM input WHERE regexp_matches(lower(name), 'cover') AND regexp_matches(lower(name), '[.](jpg|jpeg|png)$') QUALIFY row_number() OVER (PARTITION BY archive ORDER BY ord) = 1 UNION ALL SELECT archive, ord, name, 'opf' FROM input WHERE ends_with(name, '.opf') AND archive NOT IN (SELECT archive FROM input WHERE regexp_matches(lower(name), 'cover') AND regexp_matches(lower(name), '[.](jpg|jpeg|png)$'))")(E.cover_pick)
 derived("image_file_count", f"source; {_NAME}", "SELECT source, count(*) AS n_images FROM input WHERE regexp_matches(name, '[.](jpg|png|gif|webp)$') GROUP BY source")(lambda d: d.where(E.is_image("name")).groupBy("source").agg(F.count("*").alias("n_images")))
