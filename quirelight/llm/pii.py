@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import stage
 from .skew import spread_join
-from .spans import SPAN, blocks, literal, replaced, spans
+from .spans import SPAN, blocks, cut, literal, replaced, spans
 
 #: Equal to the contract's patterns: possessive, and tried only where a match can begin, so that long runs take linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -99,8 +99,10 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     holds = stage.written(spark, named, "holds")
     # what speaks for a term beside the counts, by entity
     part = entity.select(F.col("same").alias("entity"), F.explode(F.regexp_extract_all("entity", F.lit(rf"(?<=:|\P{{L}}){WORD}"), F.lit(0))).alias("term"), F.lit(PART).alias("speaks"))
-    around = f"transform(base, s -> named_struct('entity', concat(s.kind, ':', lower(substring(text, cast(s.start + 1 as int), cast(s.stop - s.start as int)))), 'near', concat(substring(text, cast(greatest(s.start - {NEAR}, 0) + 1 as int), cast(s.start - greatest(s.start - {NEAR}, 0) as int)), ' ', substring(text, cast(s.stop + 1 as int), {NEAR}))))"
-    beside = once.where(F.size("base") > 0).select(F.explode(F.expr(around)).alias("a")).select("a.entity", F.explode(F.regexp_extract_all("a.near", F.lit(rf"\p{{Lu}}\p{{L}}{{{TERM - 1},}}+"), F.lit(0))).alias("term")).select("entity", F.lower("term").alias("term")).distinct()
+    # cut from blocks: substring() would walk the text from its start for each span
+    value, before, after = (f"array_join({cut('held', a, b)}, '')" for a, b in (("s.start", "s.stop"), (f"greatest(s.start - {NEAR}, 0)", "s.start"), ("s.stop", f"(s.stop + {NEAR})")))
+    around = f"transform(base, s -> named_struct('entity', concat(s.kind, ':', lower({value})), 'near', concat({before}, ' ', {after})))"
+    beside = once.where(F.size("base") > 0).select("base", F.expr(blocks("text")).alias("held")).select(F.explode(F.expr(around)).alias("a")).select("a.entity", F.explode(F.regexp_extract_all("a.near", F.lit(rf"\p{{Lu}}\p{{L}}{{{TERM - 1},}}+"), F.lit(0))).alias("term")).select("entity", F.lower("term").alias("term")).distinct()
     beside = beside.join(entity.select("entity", "same"), "entity").select(F.col("same").alias("entity"), "term", F.lit(BESIDE).alias("speaks"))
     speaks = stage.written(spark, part.unionByName(beside).groupBy("entity", "term").agg(F.max("speaks").alias("speaks")), "evidence")
     size = found.agg(F.count("*").alias("n")).crossJoin(holds.agg(F.max("n_e").alias("top")))
